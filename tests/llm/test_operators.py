@@ -39,6 +39,7 @@ ODD = [
     (1, None, "a"), (2, "", "a"), (3, "one", None), (4, "one two", "b"), (5, "one two three four five six", "b"), (5, "one two three four five six", "b"),
     (None, "no id at all", "c"), (6, "é ü\n\né ü\n x\u00a0y", "b"), (7, "w " * 3000, "a"), (8, "\n\n  \t", "a"), (9, "A b C d E f " * 40, "a"), (10, "A b C d E f " * 40, "z"),
 ]
+ODD = [(None if i is None else 10_000 + i, t, s) for i, t, s in ODD]
 
 
 # 1 -------------------------------------------------------------------------------------------------------------------
@@ -236,7 +237,7 @@ def test_classifier_held_out(spark):
 
 
 def test_classifier_odd_rows(spark):
-    labels = spark.createDataFrame([(3, 1, 0), (4, None, 0), (99, 0, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(10_003, 1, 0), (10_004, None, 0), (99, 0, 0)], "doc_id long, quality int, toxic int")
     docs = frame(spark, ODD)
     assert {r.score for r in classifier.scored(docs, classifier.fit(docs, labels)).collect()} == {0.5}
     assert classifier.train([np.array([1]), np.array([2])], np.array([0, 1])).score(np.array([2])) > 0.5
