@@ -119,7 +119,7 @@ def silhouette(vectors: DataFrame, key: str = "vec_id", label: str = "label", ve
     each = s.groupBy(key, label).agg(own.alias("o"), near.alias("b"))
     a = F.when(F.col("o.size") > 1, F.col("o.d") / (F.col("o.size") - 1))
     value = F.when(a.isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - a) / F.greatest("b", a))
-    return each.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("silhouette"))
+    return each.groupBy(label).agg(F.count("*").alias("n"), F.avg(value).alias("silhouette"))
 
 
 def confidence_histogram(scored: DataFrame, score: str = "score", bins: int = 10) -> DataFrame:
