@@ -61,7 +61,7 @@ def abstractive_summaries(df: DataFrame) -> DataFrame:
     """(meeting_id, text): sentences of either element joined by spaces; null without any."""
     x = df.select("meeting_id", F.from_xml("xml", _SUMMARY).alias("x"))
     both = F.concat(F.coalesce("x.sentence", F.array().cast("array<string>")), F.coalesce("x.sent", F.array().cast("array<string>")))
-    kept = F.filter(F.transform(both, F.trim), lambda t: t != "")
+    kept = F.filter(F.transform(both, lambda t: F.trim(t)), lambda t: t != "")
     return x.select("meeting_id", F.when(F.size(kept) > 0, F.array_join(kept, " ")).alias("text"))
 
 
