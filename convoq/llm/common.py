@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoq.shipping import ship
+
 #: Words are runs of bytes other than these: bytes.split() without arguments splits at the same six.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: A-Z to a-z, all other bytes as they are.
@@ -60,7 +62,8 @@ def dropped(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keeps Arrow batches of whole texts small enough for a Python worker."""
+    """Keeps Arrow batches of whole texts small enough for a Python worker, which gets this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
