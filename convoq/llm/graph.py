@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoq.llm.common import written
+from convoq.llm.common import dropped, written
 
 MAX_ROUNDS = 60
 
@@ -29,15 +29,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = now
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        )
-        large = written(large, "edges")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(lowest.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        e = written(small, "edges")
+        before, e = e, written(small, "edges")
+        dropped(before)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
