@@ -309,6 +309,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pi
     """(doc_id, th, a, l): l windows from byte a on repeat, in the document with that id and text hash th."""
     anchors = written(docs.select("doc_id", "th", "text").mapInArrow(_anchor_rows(window, gram), _ANCHORS), "anchors")
     again = anchors.groupBy("h").agg(F.count("*").alias("k"), F.max("own").alias("o")).where("k > 1 or o").select("h")
+    again = written(again, "again")  # so that the join's sides are both shuffled by it and a hot value can be split
     held = written(anchors.join(again, "h", "left_semi"), "repeats")
     dropped(anchors)
     place = F.min(F.struct("doc_id", "th", "at", "n", "own")).alias("p")
