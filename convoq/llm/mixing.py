@@ -35,10 +35,15 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
 
 
+def unit_hash(doc_id: Column) -> Column:
+    """BITS * LEVELS bits: the first hexadecimal digits of the id's MD5."""
+    digits = BITS * LEVELS // 4
+    return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, digits), 16, 10).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): h is a hash of BITS * LEVELS bits."""
-    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), 64 - BITS * LEVELS)
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), h.alias("h"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), unit_hash(F.col("doc_id")).alias("h"))
 
 
 def targets(by_source: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -117,7 +122,6 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     rows = written(sizes(docs), "sizes")
     plan = thresholds(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     plan = bounded(plan.select(F.col("source").alias("__s"), F.col("copies").alias("__whole"), F.col("threshold").alias("__below")))
-    h = F.shiftrightunsigned(F.xxhash64(docs["doc_id"].cast("long"), F.lit("mix")), 64 - BITS * LEVELS)
-    n = F.least(F.col("__whole") + F.when(h < F.col("__below"), 1).otherwise(0), F.lit(int(most))).cast("int")
+    n = F.least(F.col("__whole") + F.when(unit_hash(docs["doc_id"]) < F.col("__below"), 1).otherwise(0), F.lit(int(most))).cast("int")
     copies = docs.join(plan, docs["source"].cast("string").eqNullSafe(F.col("__s"))).where(n > 0)
     return copies.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), n)).alias("__copy")).drop("__copy")

@@ -62,6 +62,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: None of the ten has SQL that runs over whole tables: each is learned, iterated or decoded; tests/llm holds them
-#: against brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""list_filter(string_split_regex(translate(regexp_replace(text, '[!-/:-@\[-`{-~]', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda w: w <> '')"""
+_GRAMS = "unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS g"
+
+#: Containment and mixing can be said in SQL. The others are learned, iterated, hashed or decoded; tests/llm holds
+#: them against brute force instead.
+ORACLE_SQL: dict[str, str] = {
+    "op10_benchmark_decontamination": f"""
+WITH i0 AS (SELECT item_id, row_number() OVER () AS rid, {_WORDS} AS words FROM benchmark WHERE text IS NOT NULL),
+it AS (SELECT *, least(5, len(words)) AS k FROM i0 WHERE len(words) > 0),
+ish AS (SELECT DISTINCT * FROM (SELECT rid, item_id, k, {_GRAMS} FROM it)),
+n AS (SELECT rid, count(*) AS n FROM ish GROUP BY rid),
+dw AS (SELECT row_number() OVER () AS did, doc_id, {_WORDS} AS words FROM documents),
+dsh AS (SELECT DISTINCT * FROM (SELECT did, k, {_GRAMS} FROM dw, (SELECT DISTINCT k FROM it) WHERE len(words) >= k)),
+hits AS (SELECT did, rid, item_id, count(*) AS c FROM dsh JOIN ish USING (k, g) GROUP BY ALL),
+ok AS (SELECT did, item_id, c / n AS share FROM hits JOIN n USING (rid) WHERE c >= ceil(0.8 * n - 1e-9))
+SELECT doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, coalesce(string_agg(item_id, ',' ORDER BY item_id, share), '') AS item_ids, coalesce(max(share), 0) AS max_containment
+FROM dw LEFT JOIN ok USING (did) GROUP BY did, doc_id""",
+    # Levels are found by ordering sources by the level at which they are full, thresholds by ordering hashes.
+    "op3_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || left(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT) AS h FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w FROM s0),
+s2 AS (SELECT *, 2.0 * source_size / w AS full_at, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS r FROM s1),
+s3 AS (SELECT a.r, a.full_at, (1.5 * (SELECT sum(source_size) FROM s1) - coalesce((SELECT sum(2.0 * source_size) FROM s2 b WHERE b.r < a.r), 0)) / (SELECT sum(w) FROM s2 b WHERE b.r >= a.r) AS level FROM s2 a),
+lv AS (SELECT level FROM s3 WHERE level < full_at * (1 - 1e-12) ORDER BY r LIMIT 1),
+s4 AS (SELECT s2.source, source_size, CASE WHEN (SELECT level FROM lv) IS NULL OR (SELECT level FROM lv) * w >= 2.0 * source_size * (1 - 1e-12) THEN 2.0 * source_size ELSE (SELECT level FROM lv) * w END AS target FROM s2),
+s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole FROM s4),
+s6 AS (SELECT *, greatest(0, target - whole * source_size) AS rest FROM s5),
+hs AS (SELECT source, h, sum(size) AS size FROM d GROUP BY source, h),
+cu AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM hs),
+ex AS (SELECT cu.source, cu.h, upto <= rest OR (upto - cu.size <= rest AND 2 * (rest - (upto - cu.size)) >= cu.size AND rest > 0) AS more FROM cu JOIN s6 ON cu.source IS NOT DISTINCT FROM s6.source)
+SELECT doc_id, size, source_size, target, CAST(size * least(whole + CAST(more AS INT), 2) AS BIGINT) AS taken, d.source
+FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source JOIN ex ON d.source IS NOT DISTINCT FROM ex.source AND d.h = ex.h""",
+}

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from convoq.llm import classifier, decontaminate, mixing, quality_rules, rans, secret_scan, simhash, suffix_dedup, url_filters, wrappers
-from convoq.llm.queries import QUERIES
+from convoq.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -490,3 +490,14 @@ def test_pipeline_stages(spark):
     for r in got:
         assert r.start == at
         at += r.n_tokens
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql_agrees(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    got = Counter(tuple(r) for r in df.select(*[df[x] for x in cols]).collect())
+    assert got == Counter(c.sql(ORACLE_SQL[name]).select(",".join(cols)).fetchall())
