@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,15 +22,21 @@ BROADCAST_ROWS = 20_000
 ARROW_ROWS = 1_000
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (one machine only) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="convoq-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _local_dirs:
+        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="convoq-")
+        atexit.register(shutil.rmtree, _local_dirs[sc.applicationId], ignore_errors=True)
+    return _local_dirs[sc.applicationId]
 
 
 def new_path(spark: SparkSession, what: str = "table") -> str:
