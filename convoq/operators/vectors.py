@@ -227,6 +227,18 @@ def cluster_groups(vectors: DataFrame, by: str, key: str = "vec_id", method: str
     return vectors.select(by, key, "embedding").groupBy(by).applyInPandas(run, f"{by} {kinds[0]}, {key} {kinds[1]}, cluster int")
 
 
+def pca_kmeans(vectors: DataFrame, k: int = 10, dims: int = 10, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
+    """(key, cluster): k-means with cosine distance on principal components, both distributed."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    v = vectors.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
+    low = PCA(k=dims, inputCol="v", outputCol="low").fit(v).transform(v)
+    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="low", predictionCol="cluster").fit(low)
+    return model.transform(low).select(key, "cluster")
+
+
 def merge_stages(segments: DataFrame, partition: str = "meeting_id", slack: float = 0.05) -> DataFrame:
     """Segments of several stages (start_ms, end_ms, priority) without overlaps: by start, higher priority first,
     each is left out if an accepted one covers it (within slack), else trimmed against all accepted ones.

@@ -261,6 +261,11 @@ def matched_accuracy(spark, d):
     return j.groupBy("meeting_id").agg(F.count("*").alias("n")).join(m, "meeting_id", "left").select("meeting_id", "n", F.round(F.coalesce("m", F.lit(0)) / F.col("n"), 6).alias("accuracy"))
 
 
+@query()
+def pca_kmeans_labels(spark, d):
+    return V.pca_kmeans(_vectors(spark, d))
+
+
 @query()
 def stage_merge(spark, d):
     """Segments of three stages by priority, without overlaps."""

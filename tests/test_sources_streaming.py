@@ -95,6 +95,55 @@ def test_chat_state(spark, tmp_path):
     assert got[1, 0] == "" and got[2, 4] == "\n".join(f"[{i}] q{i}: a{i}" for i in (1, 2, 3))
 
 
+def _wav(path, x, rate, channels=1):
+    import wave
+
+    import numpy as np
+
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.repeat(x, channels) * 32767).astype("<i2").tobytes())
+
+
+def test_audio_segments_and_vectors(spark, tmp_path):
+    import numpy as np
+
+    from convoq.sources import audio
+
+    rate = 8_000
+    t = np.arange(rate * 4) / rate
+    tone = lambda f, a, b: np.where((t >= a) & (t < b), 0.5 * np.sin(2 * np.pi * f * t), 0)
+    _wav(tmp_path / "m1.mix.wav", tone(300, 0.5, 1.2) + tone(2000, 2.0, 3.5) + 1e-4, rate, 2)
+    files = audio.wav_files(spark, str(tmp_path / "*.wav"))
+    seg = audio.speech_segments(files)
+    got = [(r.meeting_id, r.start_ms, r.end_ms) for r in seg.orderBy("seq").collect()]
+    assert len(got) == 2 and all(abs(a - b) <= 20 for g, e in zip(got, [(500, 1200), (2000, 3500)], strict=True) for a, b in zip(g[1:], e, strict=True))
+    v = [np.array(r.embedding) for r in audio.segment_embeddings(files, seg).orderBy("seq").collect()]
+    assert all(abs(np.linalg.norm(x) - 1) < 1e-5 for x in v) and v[0] @ v[1] < 0.95
+    assert abs(len(audio.decode((tmp_path / "m1.mix.wav").read_bytes())) - 4 * audio.RATE) <= 1 and audio.detect(np.zeros(0, np.float32)) == []
+
+
+def test_ctc_decoders(spark):
+    import itertools
+
+    import numpy as np
+
+    from convoq.sources import audio
+
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        p = rng.dirichlet(np.ones(3), 5)
+        mass = {}
+        for path in itertools.product(range(3), repeat=5):
+            text = "".join("-ab"[i] for k, i in enumerate(path) if i and (k == 0 or i != path[k - 1]))
+            mass[text] = mass.get(text, 0) + np.prod([p[k, i] for k, i in enumerate(path)])
+        assert audio.ctc_beam(np.log(p), list("-ab"), beam=200) == max(mass, key=mass.get)
+    rows = spark.createDataFrame([(1, [[-9.0, 0.0, -9.0], [0.0, -9.0, -9.0], [-9.0, 0.0, -9.0], [-9.0, -9.0, 0.0]]), (2, [])], "id long, log_probs array<array<double>>")
+    assert {m: [r.text for r in audio.decoded(rows, list("-ab"), m).orderBy("id").collect()] for m in ("beam", "greedy")} == {"beam": ["aab", ""], "greedy": ["aab", ""]}
+
+
 def test_entry_without_optional_parts(tmp_path):
     repo = tmp_path / "repo"
     shutil.copytree(ROOT, repo, ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
