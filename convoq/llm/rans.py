@@ -40,9 +40,10 @@ END_ID = 0
 PRECISION = 18
 LOWEST = np.uint64(1 << 31)
 LANES = 2048
-#: Ids after which a block ends (with its document), rows of a range of doc_ids, and pieces in a worker's table.
+#: Ids after which a block ends (with its document), documents in a range of doc_ids (more if there would be over
+#: MAX_PARTS ranges), and pieces in a worker's table.
 BLOCK_IDS = 1 << 20
-PART_DOCS = 20_000
+PART_DOCS, MAX_PARTS = 20_000, 10_000
 CACHE = 800_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces: a word; points after it; a line feed; whatever else stands between white space; white space with what follows.
@@ -176,11 +177,11 @@ def decode_block(states: bytes, words: bytes, n: int, table: Table) -> np.ndarra
     return ids
 
 
-_TOKENS = "part int, doc_id long, n_tokens long, ids_crc32 long, ids binary"
+_TOKENS = "doc_id long, n_tokens long, ids_crc32 long, ids binary"
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(part, doc_id, n_tokens, ids_crc32, ids): ids end with END_ID and are packed; docs has part, doc_id and text."""
+    """(doc_id, n_tokens, ids_crc32, ids) for every row: ids end with END_ID and are packed."""
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
@@ -188,16 +189,16 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         now, pack = encoder(path), zstandard.ZstdCompressor(level=3)
         end = np.array([END_ID], "<u4")
         for b in batches:
-            ids = [np.concatenate([now.encode(t or ""), end]) for t in b.column(2).to_pylist()]
+            ids = [np.concatenate([now.encode(t or ""), end]) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                     pa.array([pack.compress(_narrow(x)) for x in ids], pa.binary()),
                 ],
-                ["part", "doc_id", "n_tokens", "ids_crc32", "ids"],
+                ["doc_id", "n_tokens", "ids_crc32", "ids"],
             )
 
-    return docs.select("part", "doc_id", "text").mapInArrow(run, _TOKENS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _TOKENS)
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -230,16 +231,12 @@ def count_ids(tokens: DataFrame) -> Table:
     return Table.of_counts(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64))
 
 
-def with_parts(docs: DataFrame, rows: int = PART_DOCS) -> DataFrame:
-    """docs (doc_id, text) with part: ranges of doc_id in ascending order, from quantiles of doc_id alone."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = max(1, -(-ids.count() // rows))
-    cuts = sorted(set((ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else [])))
-    part = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(int(c)) for c in cuts])
-        part = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.size(F.filter(edges, lambda e: e < F.col("doc_id")))), F.lit(0))
-    return ids.select(part.cast("int").alias("part"), "doc_id", "text")
+def in_parts(tokens: DataFrame) -> DataFrame:
+    """tokens in ranges of doc_id, one a partition: part, then the columns, in ascending order within each part."""
+    n = min(MAX_PARTS, max(1, -(-tokens.count() // PART_DOCS)))
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = tokens.repartitionByRange(n, order).select(F.spark_partition_id().alias("part"), "*")
+    return dealt.sortWithinPartitions(order, "ids_crc32")
 
 
 _BLOCKS = (
@@ -267,7 +264,7 @@ def _schema(ddl: str, spark: SparkSession) -> pa.Schema:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Writes docs (doc_id, text) to path in the format above."""
     spark = docs.sparkSession
-    tokens = written(tokenized(with_parts(docs), tokenizer), "tokens", "uncompressed")
+    tokens = written(tokenized(docs, tokenizer), "tokens", "uncompressed")
     table = count_ids(tokens)
     schema, shared = _schema(_BLOCKS, spark), spark.sparkContext.broadcast(table.freq)
 
@@ -287,9 +284,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
         if docs:
             yield pa.RecordBatch.from_pylist([_block(part, seq, docs, now)], schema)
 
-    dealt = tokens.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids_crc32")
     head = spark.createDataFrame([(-1, table.freq.astype("<u4").tobytes())], "part int, states binary")
-    dealt.mapInArrow(run, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    in_parts(tokens).mapInArrow(run, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     dropped(tokens)
     head.write.parquet(f"{path}/table")
 
