@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoq.functions.text import bag_cosine, is_meaningful, normalize, overlap_ratio, token_count, tokenize
+from convoq.functions.text import is_meaningful, normalize, token_count, tokenize
 from convoq.operators.intervals import active_segment
 
 #: Fixed values of the scores.
@@ -64,14 +64,19 @@ def best_chunks(gt: DataFrame, pred: DataFrame, keys: list[str], k: int = 3) ->
     Chunks that share no token have overlap 0 and come in only to fill up, so the pairs that are scored come from an
     inverted index of tokens, and the filling from the last k chunks of the group: no cross join.
     """
-    g = gt.select(*keys, F.col("chunk_idx").alias("gt_idx"), F.array_distinct(tokenize(F.col("chunk"))).alias("gt_tok"))
-    p = pred.select(*keys, F.col("chunk_idx").alias("pred_idx"), F.array_distinct(tokenize(F.col("chunk"))).alias("pred_tok"))
-    share = g.select(*keys, "gt_idx", F.explode("gt_tok").alias("t")).join(p.select(*keys, "pred_idx", F.explode("pred_tok").alias("t")), [*keys, "t"])
-    share = share.select(*keys, "gt_idx", "pred_idx").distinct()
-    late = p.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pred_idx")))).where(F.col("__r") <= k).select(*keys, "pred_idx")
-    pairs = share.unionByName(g.select(*keys, "gt_idx").join(late, keys)).distinct()
-    s = pairs.join(g, [*keys, "gt_idx"]).join(p, [*keys, "pred_idx"])
-    s = s.select(*keys, "gt_idx", "pred_idx", overlap_ratio(F.col("gt_tok"), F.col("pred_tok")).alias("overlap"), bag_cosine(F.col("gt_tok"), F.col("pred_tok")).alias("similarity"))
+    g = gt.select(*keys, F.col("chunk_idx").alias("gt_idx"), F.array_distinct(tokenize(F.col("chunk"))).alias("t"))
+    p = pred.select(*keys, F.col("chunk_idx").alias("pred_idx"), F.array_distinct(tokenize(F.col("chunk"))).alias("t"))
+    g1 = g.select(*keys, "gt_idx", F.size("t").alias("ng"), F.explode("t").alias("t"))
+    p1 = p.select(*keys, "pred_idx", F.size("t").alias("np"), F.explode("t").alias("t"))
+    cols = [*keys, "gt_idx", "pred_idx", "ng", "np", "w"]
+    share = g1.join(p1, [*keys, "t"]).withColumn("w", F.lit(1)).select(*cols)
+    late = p.select(*keys, "pred_idx").withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pred_idx")))).where(F.col("__r") <= k)
+    fill = g.select(*keys, "gt_idx").join(late, keys).select(*keys, "gt_idx", "pred_idx", F.lit(0).alias("ng"), F.lit(0).alias("np"), F.lit(0).alias("w"))
+    s = share.unionByName(fill).groupBy(*keys, "gt_idx", "pred_idx").agg(F.sum("w").alias("n"), F.max("ng").alias("ng"), F.max("np").alias("np"))
+    some = F.col("n") > 0
+    overlap = F.when(some, F.col("n") / F.col("ng")).otherwise(F.lit(0.0))
+    similarity = F.when(some, F.col("n") / F.sqrt((F.col("ng") * F.col("np")).cast("double"))).otherwise(F.lit(0.0))
+    s = s.select(*keys, "gt_idx", "pred_idx", overlap.alias("overlap"), similarity.alias("similarity"))
     rank = F.row_number().over(Window.partitionBy(*keys, "gt_idx").orderBy(F.desc("overlap"), F.desc("pred_idx")))
     return s.withColumn("rank", rank).where(F.col("rank") <= k)
 

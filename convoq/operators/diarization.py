@@ -18,6 +18,11 @@ def aligned(gt: DataFrame, system: DataFrame, least_ms: int = 200) -> DataFrame:
     return sweep(frames(gt, least_ms), frames(system, least_ms))
 
 
+def totals(sw: DataFrame) -> DataFrame:
+    """A sweep's stretches summed by pair of speakers, as stretches from 0: all counts but runs can be taken from it."""
+    return sw.groupBy("meeting_id", "gt", "sys").agg(F.sum(length()).cast("long").alias("end")).select("meeting_id", F.lit(0).cast("long").alias("start"), "end", "gt", "sys")
+
+
 def confusion(sw: DataFrame) -> DataFrame:
     """(meeting_id, gt, sys, frames) where both sides speak."""
     return sw.where("gt is not null and sys is not null").groupBy("meeting_id", "gt", "sys").agg(F.sum(length()).cast("long").alias("frames"))
@@ -127,8 +132,8 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def der(gt: DataFrame, system: DataFrame, unmapped: str = "miss_fa") -> DataFrame:
-    sw = aligned(gt, system)
-    return rates(error_counts(mapped(sw, assignment(confusion(sw), speakers(sw))), unmapped))
+    t = totals(aligned(gt, system))
+    return rates(error_counts(mapped(t, assignment(confusion(t), speakers(t))), unmapped))
 
 
 def detection(gt: DataFrame, system: DataFrame, tolerance: int = 10, frame_ms: int = 10) -> DataFrame:

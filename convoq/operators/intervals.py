@@ -97,28 +97,20 @@ def frames(segments: DataFrame, least_ms: int = 200, frame_ms: int = 10) -> Data
     return s.withColumn("start_ms", F.floor(F.col("start_ms") / frame_ms)).withColumn("end_ms", F.ceil(F.col("end_ms") / frame_ms)).where("end_ms > start_ms")
 
 
-def last_wins(segments: DataFrame, width: int = 6_000) -> DataFrame:
-    """Disjoint stretches (meeting_id, start_ms, end_ms, speaker): where segments overlap, the last in order counts.
+def sweep(gt: DataFrame, system: DataFrame, width: int = 6_000) -> DataFrame:
+    """(meeting_id, start, end, gt, sys): stretches of frames on which neither side's speaker changes; null is silence.
 
-    Stretches run between neighbouring boundaries of all segments of the meeting's bin; each goes to the covering
-    segment with the highest seq. Equal to painting frames one segment after the other, without making frames.
+    Segments are cut at bin borders; within a bin, stretches run between neighbouring boundaries of both sides, and
+    each goes, on either side, to the covering segment with the highest seq. Equal to painting frames one segment
+    after the other, without making frames. A bin has at most width + 1 boundaries.
     """
-    cut = segments.select("meeting_id", "seq", "speaker", "start_ms", "end_ms", F.explode(_bins(F.col("start_ms"), F.col("end_ms") - 1, width)).alias("bin"))
-    cut = cut.withColumn("s", F.greatest("start_ms", F.col("bin") * width)).withColumn("e", F.least("end_ms", (F.col("bin") + 1) * width))
-    edges = cut.select("meeting_id", "bin", F.explode(F.array("s", "e")).alias("t")).distinct()
-    edges = edges.withColumn("u", F.lead("t").over(Window.partitionBy("meeting_id", "bin").orderBy("t"))).where("u is not null")
-    on = (edges["meeting_id"] == cut["meeting_id"]) & (edges["bin"] == cut["bin"]) & (edges["t"] >= cut["s"]) & (edges["u"] <= cut["e"])
-    top = edges.join(cut, on).groupBy(edges["meeting_id"], "t", "u").agg(F.max(F.struct("seq", "speaker")).alias("m"))
-    return top.select("meeting_id", F.col("t").alias("start_ms"), F.col("u").alias("end_ms"), F.col("m.speaker").alias("speaker"))
-
-
-def sweep(gt: DataFrame, system: DataFrame, width: int = 6_000) -> DataFrame:
-    """(meeting_id, start, end, gt, sys): stretches of frames on which neither side's speaker changes; null is silence."""
-    sides = last_wins(gt, width).withColumn("side", F.lit(0)).unionByName(last_wins(system, width).withColumn("side", F.lit(1)))
-    cut = sides.select("meeting_id", "side", "speaker", "start_ms", "end_ms", F.floor(F.col("start_ms") / width).alias("bin"))
-    edges = cut.select("meeting_id", "bin", F.explode(F.array("start_ms", "end_ms")).alias("t")).distinct()
-    edges = edges.withColumn("u", F.lead("t").over(Window.partitionBy("meeting_id", "bin").orderBy("t"))).where("u is not null")
-    on = (edges["meeting_id"] == cut["meeting_id"]) & (edges["bin"] == cut["bin"]) & (edges["t"] >= cut["start_ms"]) & (edges["u"] <= cut["end_ms"])
-    return edges.join(cut, on).groupBy(edges["meeting_id"], F.col("t").alias("start"), F.col("u").alias("end")).agg(
-        F.max(F.when(F.col("side") == 0, F.col("speaker"))).alias("gt"), F.max(F.when(F.col("side") == 1, F.col("speaker"))).alias("sys")
-    )
+    sides = gt.select("meeting_id", F.lit(0).alias("side"), "seq", "speaker", "start_ms", "end_ms").unionByName(system.select("meeting_id", F.lit(1).alias("side"), "seq", "speaker", "start_ms", "end_ms"))
+    cut = sides.withColumn("bin", F.explode(_bins(F.col("start_ms"), F.col("end_ms") - 1, width)))
+    cut = cut.select("meeting_id", "bin", "side", "seq", "speaker", F.greatest("start_ms", F.col("bin") * width).alias("s"), F.least("end_ms", (F.col("bin") + 1) * width).alias("e"))
+    x = F.array_sort(F.array_union(F.collect_set("s"), F.collect_set("e")))
+    edges = cut.groupBy("meeting_id", "bin").agg(x.alias("x"))
+    pair = F.explode(F.arrays_zip(F.slice("x", 1, F.size("x") - 1).alias("t"), F.slice("x", 2, F.size("x") - 1).alias("u")))
+    edges = edges.select("meeting_id", "bin", pair.alias("p")).select("meeting_id", "bin", F.col("p.t").alias("start"), F.col("p.u").alias("end"))
+    j = edges.join(cut, ["meeting_id", "bin"]).where((F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e")))
+    last = lambda side: F.max(F.when(F.col("side") == side, F.struct("seq", "speaker")))["speaker"]
+    return j.groupBy("meeting_id", "start", "end").agg(last(0).alias("gt"), last(1).alias("sys"))

@@ -59,9 +59,19 @@ def _sweep(spark, d):
     return D.aligned(A.segments_gt(spark, d), A.segments_sys(spark, d))
 
 
+def _mapping(sw):
+    t = D.totals(sw)
+    return D.assignment(D.confusion(t), D.speakers(t))
+
+
 def _mapped(spark, d):
     sw = _sweep(spark, d)
-    return D.mapped(sw, D.assignment(D.confusion(sw), D.speakers(sw)))
+    return D.mapped(sw, _mapping(sw))
+
+
+def _mapped_totals(spark, d):
+    t = D.totals(_sweep(spark, d))
+    return D.mapped(t, D.assignment(D.confusion(t), D.speakers(t)))
 
 
 @query("WITH " + _SWEEP + " SELECT * FROM cm")
@@ -71,8 +81,7 @@ def frame_confusion(spark, d):
 
 @query("WITH " + _SWEEP + _ASSIGN + " SELECT meeting_id, gt, sys FROM mp")
 def speaker_assignment(spark, d):
-    sw = _sweep(spark, d)
-    return D.assignment(D.confusion(sw), D.speakers(sw))
+    return _mapping(_sweep(spark, d))
 
 
 @query("WITH " + _SWEEP + _ASSIGN + _COUNTS + _RATES.replace("SELECT", " SELECT", 1))
@@ -83,7 +92,7 @@ def der_report(spark, d):
 @query("WITH " + _SWEEP + _ASSIGN + _COUNTS + """, r AS (SELECT *, (missed + false_alarm + confusion) / total AS x FROM ec)
   SELECT count(*) AS meetings, round(avg(x), 6) AS der_macro, round(sum(missed + false_alarm + confusion) / sum(total), 6) AS der_pooled, round(avg(missed / total), 6) AS miss_macro, round(avg(false_alarm / total), 6) AS fa_macro, round(avg(confusion / total), 6) AS conf_macro, CAST(sum(total) AS BIGINT) AS total FROM r WHERE total > 0""")
 def der_corpus(spark, d):
-    c = D.error_counts(_mapped(spark, d)).where("total > 0")
+    c = D.error_counts(_mapped_totals(spark, d)).where("total > 0")
     err = F.col("missed") + F.col("false_alarm") + F.col("confusion")
     avg = lambda x, name: F.round(F.avg(x / F.col("total")), 6).alias(name)
     return c.agg(
@@ -95,7 +104,7 @@ def der_corpus(spark, d):
 @query("WITH " + _SWEEP + _ASSIGN + _COUNTS.replace("AND (sys IS NULL OR sys_gt IS NULL)), 0) AS BIGINT) AS missed", "AND sys IS NULL), 0) AS BIGINT) AS missed").replace("AND (gt IS NULL OR sys_gt IS NULL)", "AND gt IS NULL").replace("gt IS NOT NULL AND sys_gt <> gt", "gt IS NOT NULL AND sys IS NOT NULL AND sys_gt IS DISTINCT FROM gt") + " SELECT * FROM ec")
 def error_counts_confusion(spark, d):
     """The variant that counts a speaker without a partner as confusion."""
-    return D.error_counts(_mapped(spark, d), "confusion")
+    return D.error_counts(_mapped_totals(spark, d), "confusion")
 
 
 def _wide(side: str) -> str:
@@ -121,7 +130,7 @@ def vad_detection(spark, d):
 @query("WITH " + _SWEEP + _ASSIGN + """ SELECT meeting_id, CAST(coalesce(sum(len) FILTER (sys_gt = gt), 0) AS BIGINT) AS matched, CAST(coalesce(sum(len) FILTER (gt IS NOT NULL), 0) AS BIGINT) AS total,
   CASE WHEN coalesce(sum(len) FILTER (gt IS NOT NULL), 0) > 0 THEN round(coalesce(sum(len) FILTER (sys_gt = gt), 0) / sum(len) FILTER (gt IS NOT NULL), 6) ELSE 0 END AS quality FROM ms GROUP BY meeting_id""")
 def label_quality(spark, d):
-    q = D.quality(_mapped(spark, d))
+    q = D.quality(_mapped_totals(spark, d))
     return q.select("*", F.when(F.col("total") > 0, F.round(F.col("matched") / F.col("total"), 6)).otherwise(F.lit(0.0)).alias("quality"))
 
 
