@@ -65,21 +65,28 @@ def default_tokenizer() -> str:
 
 
 class _Known(dict):
-    """piece -> its ids as bytes; asks the tokenizer for what is missing, and is emptied at CACHE pieces."""
+    """piece -> its ids as bytes; asks the tokenizer for what is missing.
+
+    At half of CACHE pieces it starts anew, and the last generation is kept to take from what is met again.
+    """
 
     def __init__(self, tokenizer, kind: str):
-        self.tokenizer, self.kind = tokenizer, kind
+        self.tokenizer, self.kind, self.last = tokenizer, kind, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE // 2:
+            self.last = dict(self)
             self.clear()
+        got = self[piece] = self.last.get(piece) or self.ask(piece)
+        return got
+
+    def ask(self, piece: str) -> bytes:
         if _WORD.fullmatch(piece):  # one token string a byte: the model itself is asked, without the steps before it
             shown = piece.replace(" ", _SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
             ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        got = self[piece] = np.array(ids, self.kind).tobytes()
-        return got
+        return np.array(ids, self.kind).tobytes()
 
 
 class Encoder:
@@ -177,11 +184,14 @@ def decode_block(states: bytes, words: bytes, n: int, table: Table) -> np.ndarra
     return ids
 
 
-_TOKENS = "doc_id long, n_tokens long, ids_crc32 long, ids binary"
+_TOKENS = "doc_id long, n_tokens long, ids_crc32 long, ids binary, counts binary"
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, ids) for every row: ids end with END_ID and are packed."""
+    """(doc_id, n_tokens, ids_crc32, ids, counts) for every row: ids end with END_ID and are packed.
+
+    counts, on one row of a batch, is how often the batch has each id.
+    """
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
@@ -190,12 +200,13 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         end = np.array([END_ID], "<u4")
         for b in batches:
             ids = [np.concatenate([now.encode(t or ""), end]) for t in b.column(1).to_pylist()]
+            counts = [pack.compress(np.bincount(np.concatenate(ids)).astype("<u4").tobytes())] if ids else []
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    pa.array([pack.compress(_narrow(x)) for x in ids], pa.binary()),
+                    pa.array([pack.compress(_narrow(x)) for x in ids], pa.binary()), pa.array(counts + [None] * (len(ids) - 1), pa.binary()),
                 ],
-                ["doc_id", "n_tokens", "ids_crc32", "ids"],
+                ["doc_id", "n_tokens", "ids_crc32", "ids", "counts"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _TOKENS)
@@ -213,20 +224,20 @@ def _widen(packed: bytes, n: int) -> np.ndarray:
 
 
 def count_ids(tokens: DataFrame) -> Table:
-    """The shared table: ids are counted in each task, then summed; its size is the vocabulary's."""
+    """The shared table: the batches' counts are summed in each task, then over all; its size is the vocabulary's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, unpack = np.zeros(1, np.int64), zstandard.ZstdDecompressor()
         for b in batches:
-            for n, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = np.bincount(_widen(unpack.decompress(packed), n))
+            for packed in b.column(0).to_pylist():
+                c = np.frombuffer(unpack.decompress(packed), "<u4")
                 if len(c) > len(total):
                     total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
                 total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    counts = tokens.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = sorted(counts.collect())
     return Table.of_counts(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64))
 
@@ -235,7 +246,7 @@ def in_parts(tokens: DataFrame) -> DataFrame:
     """tokens in ranges of doc_id, one a partition: part, then the columns, in ascending order within each part."""
     n = min(MAX_PARTS, max(1, -(-tokens.count() // PART_DOCS)))
     order = F.col("doc_id").asc_nulls_first()
-    dealt = tokens.repartitionByRange(n, order).select(F.spark_partition_id().alias("part"), "*")
+    dealt = tokens.drop("counts").repartitionByRange(n, order).select(F.spark_partition_id().alias("part"), "*")
     return dealt.sortWithinPartitions(order, "ids_crc32")
 
 
