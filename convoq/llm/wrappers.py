@@ -1,12 +1,14 @@
 """HTML extraction: wrappers inferred as union-free regular expressions, per host.
 
-Some pages of each host (at most SAMPLE, those with the smallest hashes) are aligned one after the
-other with a growing expression over block-level tags and text slots. Where they differ, text against
-text becomes a text slot, and tags against tags become a repeated group if the stretch repeats what
-stands before it, else an optional group. The expression tells which element holds the host's running
-text: that signature is the host's main region. Every page is then read once: the main region's
-text is taken, without what stands in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments. A page that lacks its host's region is judged by its own tags.
+Pages of a host are aligned with a growing expression over block-level tags and texts. A text that is
+the same on all pages stays a constant of the template; where texts differ, they become a slot. Tags
+against tags become a repeated group if the stretch repeats what stands before it, else an optional
+group. The expression tells which element holds the slots of the host's running text: that signature
+is the host's main region. Every page is then read once: what fills the region's slots is taken,
+without the template's constants and without what stands in menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments. A text of an optional group is not on
+all pages and so no constant. Names of elements rank regions that hold slots; a host without such a
+name gives all slots of its bodies, and a page that lacks its host's region is judged by its own tags.
 
 Only the inference looks at a sample; it is spread by host and bounded per host. Extraction covers all
 pages and whole texts.
@@ -21,11 +23,14 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +56,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Inline elements that part words.
+SPACES = frozenset(("br", "img", "wbr"))
 #: Elements, ARIA roles and words of class or id whose content is not running text.
 DROP_TAGS = frozenset("nav footer aside form button select menu dialog object embed audio video canvas head fieldset label".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
@@ -109,45 +116,79 @@ SLOT = "#text"
 
 @dataclass
 class Group:
-    """An optional (?) or repeated (+) stretch of an expression."""
+    """An optional (?) or repeated (+) stretch of an expression; seen has all texts of a repeat that is the same on all pages."""
 
     items: list
     kind: str
-    first: str = field(init=False)
+    seen: tuple[str, ...] | None = None
 
-    def __post_init__(self):
-        self.first = _first(self.items[0]) if self.items else ""
 
+def text_key(before: str, text: str) -> str:
+    """A stretch of text as the alignment compares it: its value and the block tag before it."""
+    return "=" + xxhash.xxh3_64_hexdigest(f"{before}\0{text}")
 
-def _first(item) -> str:
-    return item.first if isinstance(item, Group) else item
 
+def _is_text(x) -> bool:
+    return isinstance(x, str) and (x == SLOT or x[0] == "=")
 
-def stream(page: str) -> list[str]:
-    """A page as the alignment sees it: block tags by signature, and a slot for each stretch of text."""
+
+def _key(x):
+    """What must agree for two items to stand for each other: tags, but not the values of texts."""
+    return tuple(_key(y) for y in x.items) if isinstance(x, Group) else SLOT if _is_text(x) else x
+
+
+def _merged(x, y):
+    """The item for two that stand for each other: texts that differ are a slot."""
+    if isinstance(x, Group):
+        kind = x.kind if x.kind == y.kind else "?"
+        return Group([_merged(p, q) for p, q in zip(x.items, y.items, strict=True)], kind, x.seen if kind == "+" and x.seen == y.seen else None)
+    return x if x == y or not _is_text(x) else SLOT
+
+
+def normal(pieces: list[str]) -> str:
+    return " ".join(entities.unescape("".join(pieces)).split())
+
+
+def stream(page: str) -> list:
+    """A page as the alignment sees it: block tags by signature, and each stretch of text by its value."""
     out: list[str] = []
+    now: list[str] = []
+    before = ""
+
+    def close() -> None:
+        if text := normal(now):
+            out.append(text_key(before, text))
+        now.clear()
+
     for t in tokens(page):
         if isinstance(t, str):
-            if t.strip() and (not out or out[-1] != SLOT):
-                out.append(SLOT)
+            now.append(t)
         elif t.name in BLOCK:
-            out.append(f"</{t.name}>" if t.close else f"<{t.signature}>")
-        if len(out) >= ALIGNED:
-            break
+            close()
+            before = named(t)
+            out.append(before)
+        elif t.name in SPACES:
+            now.append(" ")
+    close()
     return folded(out)
 
 
+def named(t: Tag) -> str:
+    return f"</{t.name}>" if t.close else f"<{t.signature}>"
+
+
 def folded(items: list) -> list:
-    """Repeats of a stretch of up to 6 items become one repeated group."""
+    """Repeats of a stretch of up to 6 items become one repeated group that knows all their texts."""
+    keys = [_key(x) for x in items]
     out: list = []
     i = 0
     while i < len(items):
         for size in range(1, 7):
-            unit, n = items[i : i + size], 1
-            while len(unit) == size and items[i + n * size : i + (n + 1) * size] == unit:
+            unit, n = keys[i : i + size], 1
+            while len(unit) == size and keys[i + n * size : i + (n + 1) * size] == unit:
                 n += 1
             if n > 1 and SLOT != unit[0]:
-                out.append(Group(unit, "+"))
+                out.append(Group(unit, "+", tuple(x for x in items[i : i + n * size] if _is_text(x))))
                 i += n * size
                 break
         else:
@@ -156,43 +197,40 @@ def folded(items: list) -> list:
     return out
 
 
-def _same(a, b) -> bool:
-    if isinstance(a, Group) or isinstance(b, Group):
-        return isinstance(a, Group) and isinstance(b, Group) and _plain(a.items) == _plain(b.items)
-    return a == b
-
-
-def _plain(items: list) -> list:
-    return [(_plain(x.items), "") if isinstance(x, Group) else x for x in items]
-
-
 def align(a: list, b: list) -> list:
-    """The expression that covers a and b: mismatches become repeated groups if they can, else optional ones."""
+    """The expression that covers a and b: texts that differ become slots, other mismatches repeated groups if they can, else optional ones."""
+    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
+    if ka == kb:
+        return [_merged(x, y) for x, y in zip(a, b, strict=True)]
+    at_a, at_b = _places(ka), _places(kb)
     out: list = []
     i = j = 0
     while i < len(a) and j < len(b):
         x, y = a[i], b[j]
-        if _same(x, y):
-            out.append(x)
+        if ka[i] == kb[j]:
+            out.append(_merged(x, y))
             i, j = i + 1, j + 1
             continue
-        if isinstance(x, Group) and x.kind == "+" and not isinstance(y, Group) and _plain(b[j : j + len(x.items)]) == _plain(x.items):
-            out.append(x)  # one turn of a repeat
+        if isinstance(x, Group) and x.kind == "+" and tuple(kb[j : j + len(x.items)]) == ka[i]:
+            out.append(Group(x.items, "+"))  # one turn of a repeat
             i, j = i + 1, j + len(x.items)
             continue
-        if isinstance(y, Group) and y.kind == "+" and not isinstance(x, Group) and _plain(a[i : i + len(y.items)]) == _plain(y.items):
-            out.append(y)
+        if isinstance(y, Group) and y.kind == "+" and tuple(ka[i : i + len(y.items)]) == kb[j]:
+            out.append(Group(y.items, "+"))
             i, j = i + len(y.items), j + 1
             continue
         if isinstance(x, Group) and x.kind == "?":
-            if _plain(b[j : j + len(x.items)]) == _plain(x.items):
-                j += len(x.items)
-            out.append(x)
-            i += 1
+            n = len(x.items) if tuple(kb[j : j + len(x.items)]) == ka[i] else 0
+            out.append(_merged(x, Group(b[j : j + n], "?")) if n else x)
+            i, j = i + 1, j + n
+            continue
+        if isinstance(y, Group) and y.kind == "?":
+            n = len(y.items) if tuple(ka[i : i + len(y.items)]) == kb[j] else 0
+            out.append(_merged(y, Group(a[i : i + n], "?")) if n else y)
+            i, j = i + n, j + 1
             continue
         # The nearest place where one side meets the other's item again: what lies between is optional.
-        ahead_a = next((k for k in range(i + 1, len(a)) if _same(a[k], y)), None)
-        ahead_b = next((k for k in range(j + 1, len(b)) if _same(b[k], x)), None)
+        ahead_a, ahead_b = _after(at_a, kb[j], i), _after(at_b, ka[i], j)
         if ahead_b is not None and (ahead_a is None or ahead_b - j <= ahead_a - i):
             out.append(Group(b[j:ahead_b], "?"))
             j = ahead_b
@@ -207,6 +245,19 @@ def align(a: list, b: list) -> list:
     return out
 
 
+def _places(keys: list) -> dict:
+    found: dict = {}
+    for i, k in enumerate(keys):
+        found.setdefault(k, []).append(i)
+    return found
+
+
+def _after(places: dict, key, i: int) -> int | None:
+    at = places.get(key, [])
+    k = bisect_right(at, i)
+    return at[k] if k < len(at) else None
+
+
 def infer(pages: list[str]) -> list:
     """The expression of some pages."""
     expression: list = []
@@ -216,12 +267,31 @@ def infer(pages: list[str]) -> list:
 
 
 def as_text(items: list) -> str:
-    return " ".join(f"( {as_text(x.items)} ){x.kind}" if isinstance(x, Group) else x for x in items)
+    return " ".join(f"( {as_text(x.items)} ){x.kind}" if isinstance(x, Group) else SLOT if _is_text(x) else x for x in items)
+
+
+def open_slots(expression: list) -> list:
+    """The expression of a single page, whose texts nothing has been compared with: all of them are slots."""
+    return [Group(x.items, x.kind) if isinstance(x, Group) else SLOT if _is_text(x) else x for x in expression]
+
+
+def template(expression: list) -> list[str]:
+    """The texts that stand on all pages of an expression, as often as they stand there."""
+    return [k for x in expression for k in ((x.seen or ()) if isinstance(x, Group) else (x,) if x[0] == "=" else ())]
 
 
 def _flat(items: list) -> Iterator[str]:
+    """Tags and slots; a text that stands on all pages is left out, one that only some pages have is a slot."""
+    for x in items:
+        if isinstance(x, Group):
+            yield from (y for y in _leaves(x.items) if not (x.seen and _is_text(y)))
+        elif x[0] != "=":
+            yield x
+
+
+def _leaves(items: list) -> Iterator[str]:
     for x in items:
-        yield from (_flat(x.items) if isinstance(x, Group) else (x,))
+        yield from _leaves(x.items) if isinstance(x, Group) else (SLOT if _is_text(x) else x,)
 
 
 def main_region(expression: list) -> str:
@@ -278,13 +348,19 @@ def _dropped(t: Tag, inside: bool) -> bool:
     return bool(t.roles & DROP_ROLES or (t.hints & DROP_WORDS and t.name not in ("body", "html", "main")))
 
 
-def _blocks(items: list[Tag | str], ends: dict[int, int], start: int, stop: int, inside: bool) -> list[str]:
+def _blocks(items: list[Tag | str], ends: dict[int, int], start: int, stop: int, inside: bool, constant: Counter[str]) -> list[str]:
+    """Texts of blocks without those that the host's expression has as constant ones; each constant is met once."""
     out: list[str] = []
     now: list[str] = []
+    before = named(items[start - 1]) if start else ""
 
     def close() -> None:
-        if text := " ".join(entities.unescape("".join(now)).split()):
-            out.append(text)
+        if text := normal(now):
+            key = text_key(before, text) if constant else ""
+            if constant[key]:
+                constant[key] -= 1
+            else:
+                out.append(text)
         now.clear()
 
     i = start
@@ -296,19 +372,25 @@ def _blocks(items: list[Tag | str], ends: dict[int, int], start: int, stop: int,
             if not t.close and i in ends and _dropped(t, inside):
                 if t.name in BLOCK:
                     close()
+                    before = f"</{t.name}>"
                 i = ends[i] + 1
                 continue
             if t.name in BLOCK:
                 close()
-            elif t.name in ("br", "img", "wbr"):
+                before = named(t)
+            elif t.name in SPACES:
                 now.append(" ")
         i += 1
     close()
     return out
 
 
-def extract(page: str | None, region: str = "") -> str:
-    """The main text: of the elements with signature region, else of the best region the page has, else of its body."""
+def extract(page: str | None, region: str = "", constant: Sequence[str] = ()) -> str:
+    """The main text: what fills the slots of the host's expression, constant being its other texts.
+
+    Tags say which slots are asked: those of the elements with signature region, else of the best region of the
+    page that has any, else of its body; excluded elements are left out everywhere.
+    """
     if not page:
         return ""
     items = tokens(page)
@@ -326,16 +408,16 @@ def extract(page: str | None, region: str = "") -> str:
             if not spans or i >= spans[-1][1]:
                 spans.append((i, end))
     size = lambda spans: sum(len(x) for a, b in spans for x in items[a:b] if isinstance(x, str))
-    best = region if region in found else max(found, key=lambda s: (_rank(s), size(found[s]), s), default="")
-    if best:
+    for best in sorted(found, key=lambda s: (s == region, _rank(s), size(found[s]), s), reverse=True):
         spans = found[best]
         if best == "article" and len(spans) > 1:  # teasers beside the article
             spans = [max(spans, key=lambda s: (size([s]), -s[0]))]
-        blocks = [x for a, b in spans for x in _blocks(items, ends, a + 1, b, True)]
-    else:
-        body = next((i for i, t in enumerate(items) if not isinstance(t, str) and t.name == "body" and not t.close), -1)
-        blocks = _blocks(items, ends, body + 1, len(items), False)
-    return "\n\n".join(blocks)
+        left = Counter(constant)
+        blocks = [x for a, b in spans for x in _blocks(items, ends, a + 1, b, True, left)]
+        if blocks or left == Counter(constant):
+            return "\n\n".join(blocks)
+    body = next((i for i, t in enumerate(items) if not isinstance(t, str) and t.name == "body" and not t.close), -1)
+    return "\n\n".join(_blocks(items, ends, body + 1, len(items), False, Counter(constant)))
 
 
 def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -355,23 +437,25 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = pdf.sort_values("h").head(sample)
         expression = infer(part["html"].tolist())
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "n_pages": [len(part)], "expression": [as_text(expression)], "region": [main_region(expression)]})
+        if part["html"].nunique() == 1:
+            expression = open_slots(expression)
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "n_pages": [len(part)], "expression": [as_text(expression)], "region": [main_region(expression)], "constant": [template(expression)]})
 
-    return some.groupBy("host").applyInPandas(run, "host string, n_pages long, expression string, region string")
+    return some.groupBy("host").applyInPandas(run, "host string, n_pages long, expression string, region string, constant array<string>")
 
 
 def main_texts(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, url, text, n_chars, region) for every page."""
     small_batches(pages.sparkSession)
-    found = written(wrappers(pages, sample), "wrappers").select("host", "region")
+    found = written(wrappers(pages, sample), "wrappers").select("host", "region", "constant")
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     page = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url").cast("string")).alias("host"))
-    page = page.join(found, "host", "left").select("page_id", "url", "html", F.coalesce("region", F.lit("")).alias("region"))
+    page = page.join(found, "host", "left").select("page_id", "url", "html", F.coalesce("region", F.lit("")).alias("region"), F.coalesce("constant", F.array().cast("array<string>")).alias("constant"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(h, r) for h, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            texts = [extract(*x) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)],
                 ["page_id", "url", "text", "n_chars", "region"],

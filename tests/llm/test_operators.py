@@ -429,6 +429,15 @@ def test_generated_pages_lose_only_boilerplate(spark):
         assert got[i] == "\n\n".join(b for b in blocks if b)
 
 
+def test_slots_and_not_names_tell_text_from_template(spark):
+    page = lambda i: f'<body><div class="c2">Same notice<p>in two parts</p></div><div class="c1"><p>Text {i} of the site</p>{"<p>more %d</p>" % i * (i % 3)}</div><div class="content">Same box</div></body>'
+    rows = [(i, f"http://plain.org/{i}", page(i)) for i in range(9)] + [(20, "http://single.org/", page(0)), (21, "http://single.org/", page(0))]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert got[i] == "\n\n".join([f"Text {i} of the site"] + [f"more {i}"] * (i % 3))
+    assert got[20] == got[21] == "Same box"  # nothing to compare the one page with: its tags decide
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
