@@ -10,8 +10,8 @@ notices, adverts, forms, scripts, styles and reader comments. A text of an optio
 all pages and so no constant. Names of elements rank regions that hold slots; a host without such a
 name gives all slots of its bodies, and a page that lacks its host's region is judged by its own tags.
 
-Only the inference looks at a sample; it is spread by host and bounded per host. Extraction covers all
-pages and whole texts.
+The inference reads all pages, whole. Pages of one structure are merged where they are read, so what is
+shuffled is one row for each structure and task; structures of a host are aligned in shares, then the shares.
 
 Defined cases: null html is an empty page with an empty text; pages without a host share one wrapper;
 unclosed elements end with the block around them, an excluded element that is never closed excludes
@@ -22,6 +22,7 @@ not read.
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -31,15 +32,16 @@ from dataclasses import dataclass
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoq.llm.common import BROADCAST_ROWS, small_batches, written
 from convoq.llm.url_filters import host_of
 
-SAMPLE = 6
-#: Tokens of a sampled page that the alignment looks at; extraction has no such limit.
-ALIGNED = 2_000
+#: Shares of a host's structures, so that a hot host is aligned by several tasks.
+SALTS = 32
+#: Structures that a task holds before it sends them on.
+HELD = 5_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?"
@@ -420,34 +422,80 @@ def extract(page: str | None, region: str = "", constant: Sequence[str] = ()) ->
     return "\n\n".join(_blocks(items, ends, body + 1, len(items), False, Counter(constant)))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, n_pages, expression, region) for every host; n_pages is how many the inference looked at."""
-    keyed = pages.select(host_of(F.col("url").cast("string")).alias("host"), "page_id", "url", "html")
-    # Ranks come from keys alone; pages' texts travel only for the few that are sampled. Salted ranks keep a hot host spread.
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(32))
-    keys = keyed.where("html is not null").select("host", "page_id", "url", salt.alias("salt"), F.xxhash64("page_id", "url", F.lit(1)).alias("h"))
-    order = ["h", "page_id", "url"]
-    few = keys.withColumn("r", F.row_number().over(Window.partitionBy("host", "salt").orderBy(*order))).where(F.col("r") <= sample)
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(*order))).where(F.col("r") <= sample)
-    few = written(few.select(F.col("page_id").alias("id"), "h").distinct(), "sample")
-    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        few = F.broadcast(few)
-    some = keyed.join(few, F.col("page_id").eqNullSafe(F.col("id")) & (F.xxhash64("page_id", "url", F.lit(1)) == F.col("h"))).select("host", "h", "html").dropDuplicates(["host", "h"])
+# Folding all pages ---------------------------------------------------------------------------------------------------
+
+_FOLDED = "host string, salt int, structure string, items string, page string, several boolean, n long"
+
+
+def _packed(items: list) -> str:
+    plain = lambda xs: [[x.kind, plain(x.items), x.seen] if isinstance(x, Group) else x for x in xs]
+    return json.dumps(plain(items), separators=(",", ":"))
+
+
+def _unpacked(text: str) -> list:
+    group = lambda xs: [x if isinstance(x, str) else Group(group(x[1]), x[0], None if x[2] is None else tuple(x[2])) for x in xs]
+    return group(json.loads(text))
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of one structure become one expression before they leave the task: a text that differs is a slot."""
+    held: dict[tuple[str, str], list] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(host, int(structure[:8], 16) % SALTS, structure, _packed(items), page, several, n) for (host, structure), (items, page, several, n) in held.items()]
+        held.clear()
+        types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
+        names = [x.split()[0] for x in _FOLDED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+    for b in batches:
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            items, name = stream(page), xxhash.xxh3_64_hexdigest(page)
+            structure = xxhash.xxh3_64_hexdigest(json.dumps(list(map(_key, items))))
+            if mine := held.get((host, structure)):
+                mine[0], mine[2], mine[3] = align(mine[0], items), mine[2] or name != mine[1], mine[3] + 1
+            else:
+                held[host, structure] = [items, name, False, 1]
+            if len(held) >= HELD:
+                yield out()
+    if held:
+        yield out()
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for several of a host: first those of one structure are merged, then structures are aligned in a fixed order."""
+    expression: list | None = None
+    for _, same in pdf.sort_values(["structure", "page"]).groupby("structure"):
+        mine: list | None = None
+        for items in map(_unpacked, same["items"]):
+            mine = items if mine is None else align(mine, items)
+        expression = mine if expression is None else align(expression, mine)
+    several = bool(pdf["several"].any()) or pdf["page"].nunique() > 1
+    return pd.DataFrame({"host": pdf["host"].iloc[:1], "salt": pdf["salt"].iloc[:1], "structure": pdf["structure"].min(), "items": _packed(expression), "page": pdf["page"].min(), "several": several, "n": pdf["n"].sum()})
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, n_pages, expression, region, constant) for every host, from all of its n_pages pages.
+
+    Tasks send one row for each structure they meet, structures of a host are aligned in SALTS shares, the shares by host.
+    """
+    keyed = pages.where("html is not null").select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
+    shares = keyed.mapInArrow(_fold, _FOLDED).groupBy("host", "salt").applyInPandas(_joined, _FOLDED)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = pdf.sort_values("h").head(sample)
-        expression = infer(part["html"].tolist())
-        if part["html"].nunique() == 1:
+        whole = _joined(pdf.assign(structure=pdf["salt"].map("{:08d}".format)))
+        expression = _unpacked(whole["items"].iloc[0])
+        if not whole["several"].iloc[0]:
             expression = open_slots(expression)
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "n_pages": [len(part)], "expression": [as_text(expression)], "region": [main_region(expression)], "constant": [template(expression)]})
+        return pd.DataFrame({"host": whole["host"], "n_pages": whole["n"], "expression": as_text(expression), "region": main_region(expression), "constant": [template(expression)]})
 
-    return some.groupBy("host").applyInPandas(run, "host string, n_pages long, expression string, region string, constant array<string>")
+    return shares.groupBy("host").applyInPandas(run, "host string, n_pages long, expression string, region string, constant array<string>")
 
 
-def main_texts(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, region) for every page."""
     small_batches(pages.sparkSession)
-    found = written(wrappers(pages, sample), "wrappers").select("host", "region", "constant")
+    found = written(wrappers(pages), "wrappers").select("host", "region", "constant")
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     page = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url").cast("string")).alias("host"))

@@ -438,6 +438,18 @@ def test_slots_and_not_names_tell_text_from_template(spark):
     assert got[20] == got[21] == "Same box"  # nothing to compare the one page with: its tags decide
 
 
+def test_wrapper_takes_all_pages_and_whole_pages(spark):
+    menu = "<ul>" + "".join(f"<li>{k}</li><li><p>{k}</p></li>" for k in range(1500)) + "</ul>"
+    page = lambda i: f'<body>{menu}<div class="c2">{"Same notice" if i != 33 else "Another notice"}</div><div class="story"><p>Text {i}</p>{"<table><tr><td>rare</td></tr></table>" if i == 17 else ""}</div></body>'
+    pages = spark.createDataFrame([(i, f"http://large.org/{i}", page(i)) for i in range(40)], "page_id long, url string, html string").repartition(5)
+    (w,) = wrappers.wrappers(pages).collect()
+    assert w.n_pages == 40 and w.region == "div.story" and "( <table> <tr> <td> #text </td> </tr> </table> )?" in w.expression
+    assert wrappers.text_key("<div.2.c>", "Same notice") not in w.constant  # not on all pages
+    assert wrappers.text_key("<li>", "7") in w.constant
+    same = [tuple(r) for r in wrappers.wrappers(pages.repartition(2)).collect()]
+    assert same == [tuple(w)]
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
