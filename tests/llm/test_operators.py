@@ -128,6 +128,18 @@ def test_distrust_flows_against_links_and_trust_along(spark):
     assert got[5].host_trust > 0 == got[6].host_trust and got[2].host_distrust == pytest.approx(0.85 * 7)
 
 
+def test_propagation_ends_when_scores_are_settled(spark):
+    seeds = spark.createDataFrame([("a", 3000.0), ("c0", 10_000.0)], "host string, seed double")
+    ring = [("a", "b", 1.0), ("b", "a", 1.0)]
+    chain = [(f"c{i}", f"c{i + 1}", 1.0) for i in range(30)]
+    edges = spark.createDataFrame(ring + chain, "src string, dst string, share double")
+    got = {r.host: r.score for r in url_filters.propagate(seeds, edges).collect()}
+    assert got["a"] == pytest.approx(3000 / (1 - 0.85**2), rel=1e-4) and got["b"] == pytest.approx(0.85 * got["a"], rel=1e-4)
+    assert got["c25"] == pytest.approx(10_000 * 0.85**25)  # 25 links away
+    with pytest.raises(RuntimeError):
+        url_filters.propagate(seeds, edges, rounds=3)
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
