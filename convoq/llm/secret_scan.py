@@ -1,9 +1,9 @@
 """Secret scans: patterns per text, and corpus-wide ownership frequency for what patterns leave open.
 
-Base spans come from three fixed patterns. Besides, long strings of mixed letters and digits are
-candidates. Each candidate (of a base span: its value) is hashed, and hashes are counted over the
+Base spans come from three fixed patterns. Besides, long strings that mix two or three of lower case,
+upper case and digits are candidates. Each candidate (of a base span: its value) is hashed, and hashes are counted over the
 corpus by distinct repositories and distinct owners. A string that many owners share is a copied
-example; one that a single owner has in few repositories looks live. Live-looking candidates become
+example; one that few owners have in few repositories looks live. Live-looking candidates become
 spans of kind `live`; base spans always stay, and are counted as live or copied.
 
 A string that a third of the corpus holds is one hot hash: (hash, owner, repository) triples are made
@@ -34,11 +34,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
-#: A candidate that no pattern names: this long, with lower and upper case and digits, and this many bits per character.
+#: A candidate that no pattern names: this long, with two of lower case, upper case and digits, and this many bits per
+#: character (of the 4 that hex digits can have, fewer). With two classes only, it must be that long without separators.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{24,}")
-LEAST_BITS = 3.5
-#: More owners than this and a string is a copied example; more repositories of its one owner, too.
-OWNERS, REPOSITORIES = 1, 3
+UNBROKEN = re.compile(r"[A-Za-z0-9]{24,}")
+HEX_DIGITS = re.compile(r"[0-9A-F]+|[0-9a-f]+")
+LEAST_BITS, LEAST_HEX_BITS = 3.5, 3.0
+#: More owners than this and a string is a copied example; more repositories, too.
+OWNERS, REPOSITORIES = 3, 3
 
 
 def bits(value: str) -> float:
@@ -53,12 +56,23 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def drawn(value: str) -> bool:
+    """Whether a string of candidate characters looks drawn at random."""
+    lower, digit = any("a" <= c <= "z" for c in value), any(c.isdigit() for c in value)
+    upper = any("A" <= c <= "Z" for c in value)
+    if not (lower and upper and digit):
+        mixed = digit if lower != upper else any("A" <= c <= "Z" for c in value[1:]) and lower  # not a word with a capital
+        if not mixed or not UNBROKEN.search(value):
+            return False
+    return bits(value) >= (LEAST_HEX_BITS if HEX_DIGITS.fullmatch(value) else LEAST_BITS)
+
+
 def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """What no base span covers and looks drawn at random."""
     found = []
     for m in CANDIDATE.finditer(text):
         v = m[0]
-        if not (any(c.isdigit() for c in v) and any("a" <= c <= "z" for c in v) and any("A" <= c <= "Z" for c in v)) or bits(v) < LEAST_BITS:
+        if not drawn(v):
             continue
         if all(m.end() <= s or m.start() >= e for _, s, e, _ in taken):
             found.append(("live", m.start(), m.end(), v))
@@ -105,11 +119,11 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied) for every row.
 
-    owner is the row's source and repository its document unless they are given.
+    owner is the row's source and repository its text unless they are given, so copies of a document are one.
     """
     small_batches(docs.sparkSession)
     owner = F.col("source") if owner is None else owner
-    repository = F.col("doc_id") if repository is None else repository
+    repository = F.xxhash64(F.col("text").cast("string")) if repository is None else repository
     rows = docs.select(F.col("doc_id").cast("long"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.col("text").cast("string"))
     rows = written(rows.mapInArrow(_scan, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "spans")
     each = rows.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("s")).select("row", "owner", "repository", "s.*")

@@ -361,6 +361,18 @@ def test_secrets_equal_brute_force(spark, docs):
     assert secret_scan.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_candidates_of_two_classes_and_copied_documents(spark):
+    keys = ["9233A8EC41D07BF65E1C88AA03D94F72", "JBSWY3DPEHPK3PXPMZXW6YTBOJ2GK43U", "q7w2k9zr4m1x8v5t3n6bhd0cyl", "QwErTzUiOpAsDfGhJkLyXcVbNm"]
+    rows = [(100 + i, f"use {k} now", "a") for i, k in enumerate(keys)]
+    rows += [(200, f"a copy of {keys[0][::-1]}", "a"), (201, f"a copy of {keys[0][::-1]}", "b")]  # under another source
+    rows += [(300 + i, f"copies of {keys[1][::-1]}", "a") for i in range(6)]  # one text, six documents
+    rows += [(400 + i, f"text {i} of {keys[2][::-1]}", "a") for i in range(6)]  # six texts
+    rows += [(500, "Einungtzheitgeungverlich zzzzzzzzzzzz111111111111 /en/2024-10-11/some-title-of-a-page", "a")]
+    got = {r.doc_id: (r.spans.split(":")[0], r.n_live) for r in secret_scan.scan(frame(spark, rows)).collect()}
+    for i, _, _ in rows:
+        assert got[i] == (("", 0) if i >= 400 else ("live", 1)), i
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
