@@ -12,8 +12,8 @@ out; the scores cover all rows. Only text goes into a score.
 Defined cases: null and empty texts have no features and get the score of margin 0; a label table
 without both kinds in the rows to learn from gives score 0.5 throughout; labels that are null or for no
 document are ignored, of several for a document the lowest counts; null doc_ids are not held out and
-not learned from; repeated rows are scored alike; an empty table gives an empty result; extra columns
-are not read.
+not learned from; repeated rows are scored alike; a very long text has the features of all its words, at
+most 2**DIM_BITS; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoq.llm.common import LOWER, bounded, small_batches, written
+from convoq.llm.common import LOWER, bounded, small, written
+from convoq.shipping import ship
 
 FIT_ROWS = 10_000
 DIM_BITS = 18
@@ -151,14 +152,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         x = pa.array([features(t).tobytes() for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["h", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
     """The model of at most `rows` labelled rows that are not held out."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
     known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
@@ -170,11 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = [model.score(features(t)) if model else 0.5 for t in b.column(1).cast(pa.binary()).to_pylist()]
+        now = shared.value
+        for b in small(batches):
+            scores = [now.score(features(t)) if now else 0.5 for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

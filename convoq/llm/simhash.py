@@ -14,7 +14,8 @@ within 1 bit. That gives the same components from a number of rows in proportion
 Defined cases: null text is an empty text; a text of one or two words has its whole word sequence as
 its only shingle; no words give fingerprint 0, which links like any other. Rows with a null doc_id
 are linked but never name a component (null if there is no other id). Repeated rows stay, each with
-the same component. An empty table gives an empty result; extra columns are not read.
+the same component. Of a very long text all shingles count, CHUNK at a time. An empty table gives an
+empty result; extra columns are not read (`near_duplicates`) or pass through (`keep_one`).
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoq.llm.common import LOWER, small_batches, written
+from convoq.llm.common import LOWER, dropped, fresh, quoted, small, written
 from convoq.llm.graph import connected_components
+from convoq.shipping import ship
 
 SEED = 42
 DISTANCE = 3
@@ -53,7 +55,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         texts = b.column(2).cast(pa.binary()).to_pylist()
         fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "th", "fp"])
@@ -65,7 +67,7 @@ def _key(docs: DataFrame) -> tuple[Column, Column]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, th, fp): fp is the fingerprint's 64 bits as a signed long, th a hash of the text."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     doc_id, th = _key(docs)
     return docs.select(doc_id.alias("doc_id"), th.alias("th"), docs["text"].cast("string")).mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
@@ -142,9 +144,11 @@ def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """
     found = written(_components(docs, dense), "found")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k"))
-    first = written(first.select(F.col("k.doc_id").alias("__i"), F.col("k.th").alias("__t")), "first")
+    i, t = fresh(docs.columns, "first_id"), fresh(docs.columns, "first_text")
+    first = written(first.select(F.col("k.doc_id").alias(i), F.col("k.th").alias(t)), "first")
     doc_id, th = _key(docs)
-    kept = docs.join(first, doc_id.eqNullSafe(F.col("__i")) & (th == F.col("__t")), "left_semi")
+    kept = docs.join(first, doc_id.eqNullSafe(F.col(i)) & (th == F.col(t)), "left_semi")
     if found.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("__t", F.xxhash64(kept["text"].cast("string"))).dropDuplicates(["doc_id", "__t"])
-    return kept.select(*docs.columns)
+        kept = kept.withColumn(t, F.xxhash64(kept["text"].cast("string"))).dropDuplicates(["doc_id", t])
+    dropped(found)
+    return kept.select(*[quoted(c) for c in docs.columns])

@@ -22,7 +22,8 @@ shuffle, never as pairs.
 
 Defined cases: null and empty texts have no bytes; texts shorter than WINDOW have no windows and stay;
 repeated rows (same doc_id and text) are copies of each other; null doc_ids are documents like any
-other; an empty table gives an empty result; extra columns are not read.
+other; very long texts are hashed CHUNK bytes at a time and cut in segments like any other; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoq.llm.common import dropped, small_batches, written
+from convoq.llm.common import dropped, small, written
+from convoq.shipping import ship
 
 WINDOW = 200
 GRAM = 80
@@ -201,7 +203,7 @@ def _signed(x: int) -> int:
 def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, digest = _Hasher(window, gram), xxhash.xxh3_64_intdigest
-        for b in batches:
+        for b in small(batches):
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for row, text in enumerate(_bytes(b.column(2))):
                 if len(text) < window:
@@ -223,7 +225,7 @@ def _anchor_rows(window: int, gram: int):
 
 def _cut_segments(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = [
                 (w["h"], w["f"], w["c"], w["pieces"], text[w["at"] : w["at"] + w["n"] + window - 1])
                 for text, wanted in zip(_bytes(b.column(0)), b.column(1).to_pylist(), strict=True) for w in wanted
@@ -283,7 +285,7 @@ def _sorted_pieces(window: int):
 
 def _removed(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out: list[tuple] = []
             for text, found in zip(_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 spans: list[list[int]] = []
@@ -329,13 +331,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pi
     whole = distinct.where("c > 1").select("h", "f", F.lit(0).alias("s"), F.col("n").alias("l"))
     flags = whole.union(found.union(late).join(whole.select("h", "f"), ["h", "f"], "left_anti"))
     flags = written(flags.groupBy("h", "f").agg(F.collect_list(F.struct("s", "l")).alias("r")), "flags")
+    dropped(again, distinct, several, open_, solved)
     where = held.join(flags, ["h", "f"]).select("doc_id", "th", "at", F.explode("r").alias("r"))
     return where.select("doc_id", "th", (F.col("at") + F.col("r.s")).alias("a"), F.col("r.l").alias("l"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; with keep_text also kept (binary) and spans (starts and ends in turn)."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     text = F.col("text").cast("string")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     where = repeated_windows(keyed, window, gram, piece)
