@@ -6,20 +6,21 @@ terms are added by information gain on two thirds of the rows not yet covered, a
 end while that helps on the other third. A rule that is not precise there is not taken. The list
 becomes one ordered CASE WHEN over the statistics; what no rule covers is kept.
 
-The fit looks at no more than FIT_ROWS labelled rows (those with the smallest hashes), numbers only;
-the statistics and the verdicts cover all rows.
+The fit looks at no more than FIT_ROWS labelled rows (those with the smallest hashes), numbers only, and
+makes at most MAX_RULES rules of at most MAX_TERMS terms; the statistics and the verdicts cover all rows.
 
 Defined cases: null and empty texts have no words, zero statistics and fail the base rules; labels
 that are null or for no document are ignored, of several for a document the lowest counts; without
-labels of both kinds the list is empty and the base rules decide alone. Repeated rows are judged
-alike; extra columns pass through; an empty table gives an empty result.
+labels of both kinds the list is empty and the base rules decide alone. Of a very long text all words
+are counted; a worker holds the text, its words and their windows. Repeated rows are judged alike;
+extra columns pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, eq
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convoq.llm.common import bounded, small_batches, written
+from convoq.llm.common import bounded, fresh, quoted, with_column, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -87,20 +88,16 @@ def statistics(text: bytes | None) -> tuple:
     )
 
 
-def with_statistics(df: DataFrame, text: str = "text", name: str = "__stats") -> DataFrame:
+def with_statistics(df: DataFrame, text: str = "text", name: str = "stats") -> DataFrame:
     """df with a struct column of STATS."""
-    small_batches(df.sparkSession)
-    at = df.columns.index(text)
-    kinds = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
     kind = pa.struct([(c, pa.int64()) for c in COUNTS] + [(c, pa.float64()) for c in SHARES])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [statistics(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kind), kind, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(cols, fields=list(kind))], [*b.schema.names, name])
+    def of(texts: list[bytes | None]) -> pa.Array:
+        rows = [statistics(t) for t in texts]
+        cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kind), kind, strict=True)]
+        return pa.StructArray.from_arrays(cols, fields=list(kind))
 
-    return df.mapInArrow(run, T.StructType([*kinds, T.StructField(name, STATS)]))
+    return with_column(df, text, lambda: of, STATS, name)
 
 
 def base_failed(s: Callable[[str], Column]) -> Column:
@@ -172,7 +169,7 @@ def learn(x: np.ndarray, low: np.ndarray, names: tuple[str, ...], order: np.ndar
     rules: list[list[tuple[str, str, float]]] = []
     rest = np.ones(len(x), bool)
     prune = order % 3 == 0
-    for _ in range(MAX_RULES):
+    while len(rules) < MAX_RULES:  # an attempt that gives no rule takes rows away, so the attempts end, too
         if not (low & rest & ~prune).any():
             break
         rule = _grow(x[rest & ~prune], low[rest & ~prune])
@@ -202,10 +199,10 @@ def sampled(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 
 
 def fit(stats: DataFrame, known: DataFrame, rows: int = FIT_ROWS) -> DecisionList:
-    """Learns from the rows of stats (doc_id, __stats) that `known` labels; repeated rows beyond `rows` are left out."""
+    """Learns from the rows of stats (doc_id, stats) that `known` labels; repeated rows beyond `rows` are left out."""
     names = SHARES
-    some = stats.join(bounded(known), "doc_id").where("__stats.n_words > 0")
-    some = some.select("quality", F.xxhash64("doc_id").alias("h"), *[F.col(f"__stats.{c}").cast("double").alias(c) for c in names])
+    some = stats.join(bounded(known), "doc_id").where("stats.n_words > 0")
+    some = some.select("quality", F.xxhash64("doc_id").alias("h"), *[F.col(f"stats.{c}").cast("double").alias(c) for c in names])
     got = np.array([tuple(r) for r in some.orderBy("h", *names).limit(rows).collect()], float).reshape(-1, len(names) + 2)
     return learn(got[:, 2:], got[:, 0] == 0, names, np.arange(len(got)))
 
@@ -214,7 +211,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, the counts, base_failed, kept) for every row."""
     stats = written(with_statistics(docs.select("doc_id", F.col("text").cast("string").alias("text"))).drop("text"), "statistics")
     rules = fit(stats, sampled(labels))
-    s = lambda c: F.col(f"__stats.{c}")
+    s = lambda c: F.col(f"stats.{c}")
     failed = base_failed(s)
     return stats.select("doc_id", *[s(c).alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & rules.keeps(s)).alias("kept"))
 
@@ -224,5 +221,6 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = sampled(labels)
     seen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(bounded(known), "doc_id", "left_semi")
     rules = fit(written(with_statistics(seen).drop("text"), "statistics"), known)
-    s = lambda c: F.col(f"__stats.{c}")
-    return with_statistics(docs).where(~base_failed(s) & rules.keeps(s)).drop("__stats")
+    name = fresh(docs.columns, "stats")
+    s = lambda c: F.col(f"{name}.{c}")
+    return with_statistics(docs, name=name).where(~base_failed(s) & rules.keeps(s)).select(*[quoted(c) for c in docs.columns])
