@@ -6,10 +6,11 @@ corpus by distinct repositories and distinct owners. A string that many owners s
 example; one that few owners have in few repositories looks live. Live-looking candidates become
 spans of kind `live`; base spans always stay, and are counted as live or copied.
 
-A string that a third of the corpus holds is one hot hash: (hash, owner, repository) triples are made
-distinct before the shuffle, and triples are counted in two steps, by owner and then by hash.
+A string that a third of the corpus holds is one hot hash: (hash, owner, repository) triples are summed
+before the shuffle and counted in two steps, by owner and then by hash, and the spans of a hot hash get
+its verdict by a broadcast of the at most 1,000 hashes that can be hot.
 
-Defined cases: null text is an empty text; offsets count code points; a null owner or repository is a
+Defined cases: null text is an empty text; very long texts are scanned whole; offsets count code points; a null owner or repository is a
 value of its own; repeated rows are results of their own and one repository; an empty table gives an
 empty result; extra columns are not read.
 """
@@ -27,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoq.llm.common import small_batches, written
+from convoq.llm.common import joined_unique, small, written
+from convoq.shipping import ship
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -92,7 +94,7 @@ _SCHEMA = "doc_id long, owner string, repository string, n_assign long, n_access
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         out: list[list] = [[] for _ in range(5)]
         for text in b.column(3).to_pylist():
             base = base_spans(text or "")
@@ -110,10 +112,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(h, owners, repositories) over (h, owner, repository)."""
-    triples = found.select("h", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repository", F.lit("\0")).alias("repository")).distinct()
-    by_owner = triples.groupBy("h", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    """(h, owners, repositories, n) over (h, owner, repository): n is how many rows have the hash."""
+    triples = found.groupBy("h", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repository", F.lit("\0")).alias("repository")).agg(F.count("*").alias("n"))
+    by_owner = triples.groupBy("h", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
 
 
 def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
@@ -121,7 +123,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
 
     owner is the row's source and repository its text unless they are given, so copies of a document are one.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     owner = F.col("source") if owner is None else owner
     repository = F.xxhash64(F.col("text").cast("string")) if repository is None else repository
     rows = docs.select(F.col("doc_id").cast("long"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.col("text").cast("string"))
@@ -129,7 +131,8 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     each = rows.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("s")).select("row", "owner", "repository", "s.*")
     seen = written(ownership(each), "ownership")
     live = (F.col("owners") <= owners) & (F.col("repositories") <= repositories)
-    named = each.select("row", "start", "kind_no", "end", "h").join(seen.select("h", live.alias("is_live")), "h")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    named = joined_unique(each.select("row", "start", "kind_no", "end", "h"), seen.select("h", live.alias("is_live"), "n"), "h", total)
     stays = named.where((F.col("kind_no") < 3) | F.col("is_live"))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind_no") + 1)
     span = F.struct("start", "kind_no", F.concat_ws(":", kind, "start", "end").alias("as_text"))
