@@ -5,7 +5,7 @@ written in ascending doc_id order. One frequency table, counted over all ids of
 blocks. A block holds whole documents' ids in LANES interleaved rANS states, so that each numpy step
 encodes or decodes LANES ids; a block depends on nothing but the table, so blocks decode in parallel.
 
-    table row:  part -1, the frequencies (they sum to 2**PRECISION)
+    table row:  part -1, the frequencies (they sum to a power of two, 2**PRECISION or more if there are so many ids)
     block row:  part and seq (ascending with doc_id), first doc_id and last one, checkpoints (each
                 document's id count and the crc32 of its ids), the number of ids, the states, the
                 words, and the crc32 of states and words
@@ -17,13 +17,19 @@ A text is cut where no token of the vocabulary's pattern reaches over: before a
 a single line feed between other characters, and after a word. What was encoded before is looked up in a
 table of bounded size, the rest goes to the tokenizers library.
 
+Ids are dealt in ranges of (doc_id, checksum, row), so rows without an id or with the same one spread over
+as many ranges as they fill. The number of ranges and the ids in one both grow with the root of the
+corpus; a task sorts its range with spilling and holds one block of it.
+
 Defined cases: null and empty texts have only the end id; repeated doc_ids and a null one (first in
-order) are documents of their own, ordered by their ids' checksum; an empty table gives a table row, no
-blocks and an empty result; extra columns are not read.
+order) are documents of their own, ordered by their ids' checksum; a very long text is one document in
+one block, whose size it may exceed BLOCK_IDS by; an empty table gives a table row, no blocks and an
+empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,17 +40,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convoq.llm.common import dropped, new_path, small_batches, written
+from convoq.llm.common import dropped, new_path, small, written
+from convoq.shipping import ship
 
 END_ID = 0
 PRECISION = 18
 LOWEST = np.uint64(1 << 31)
 LANES = 2048
-#: Ids after which a block ends (with its document), documents in a range of doc_ids (more if there would be over
-#: MAX_PARTS ranges), and pieces in a worker's table.
+#: Ids after which a block ends (with its document), ids for which there is one range (n**2 times as many ids have n
+#: ranges), and pieces in a worker's table.
 BLOCK_IDS = 1 << 20
-PART_DOCS, MAX_PARTS = 20_000, 10_000
-CACHE = 800_000
+PART_IDS = 1 << 15
+CACHE = 500_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces: a word; points after it; a line feed; whatever else stands between white space; white space with what follows.
 _PIECE = re.compile(rf" ?[{_LATIN}]++(?![^\W\d_])|(?<=[{_LATIN}])[.,!?;:]++(?=[ \n]|\Z)|(?<=\S)\n(?=\S)| ?\S+|\s+\S*")
@@ -116,23 +123,27 @@ def encoder(path: str) -> Encoder:
 
 
 class Table:
-    """Frequencies of ids that sum to 2**PRECISION; every id that occurs has one of at least 1."""
+    """Frequencies of ids that sum to 2**precision; every id that occurs has one of at least 1."""
 
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
+        self.precision = int(self.freq.sum()).bit_length() - 1
+        if int(self.freq.sum()) != 1 << self.precision or self.precision > 30:
+            raise ValueError("frequencies must sum to a power of two, 2**30 at most")
         self._ids = None
 
     @classmethod
     def of_counts(cls, ids: np.ndarray, counts: np.ndarray) -> Table:
         freq = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+        precision = max(PRECISION, len(ids).bit_length() + 1)
         if len(ids):
-            total, room = int(counts.sum()), (1 << PRECISION) - len(ids)
+            total, room = int(counts.sum()), (1 << precision) - len(ids)
             share = np.array([int(c) * room // total for c in counts], np.int64)
             freq[ids] = 1 + share
             freq[ids[int(np.argmax(counts))]] += room - share.sum()
         else:
-            freq[0] = 1 << PRECISION
+            freq[0] = 1 << precision
         return cls(freq)
 
     def ids_of(self, slots: np.ndarray) -> np.ndarray:
@@ -148,16 +159,16 @@ def encode_block(ids: np.ndarray, table: Table) -> tuple[bytes, bytes]:
     steps = -(-n // lanes)
     f_all, s_all = table.freq[ids], table.start[ids]
     x = np.full(lanes, LOWEST, _U)
-    out = []
+    precision, out = table.precision, []
     for step in range(steps - 1, -1, -1):
         lo, hi = step * lanes, min(n, (step + 1) * lanes)
         f, s, y = f_all[lo:hi], s_all[lo:hi], x[: hi - lo]
-        full = y >= f << _U(63 - PRECISION)
+        full = y >= f << _U(63 - precision)
         if full.any():
             out.append(y[full].astype("<u4")[::-1])
             y = np.where(full, y >> _U(32), y)
         q = y // f
-        x[: hi - lo] = (q << _U(PRECISION)) + (y - q * f) + s
+        x[: hi - lo] = (q << _U(precision)) + (y - q * f) + s
     words = np.concatenate(out)[::-1] if out else np.empty(0, "<u4")
     return x.astype("<u8").tobytes(), words.astype("<u4").tobytes()
 
@@ -166,14 +177,14 @@ def decode_block(states: bytes, words: bytes, n: int, table: Table) -> np.ndarra
     x, stream, at = np.frombuffer(states, "<u8").astype(_U), np.frombuffer(words, "<u4"), 0
     lanes = len(x)
     ids = np.empty(n, "<u4")
-    mask = _U((1 << PRECISION) - 1)
+    mask = _U((1 << table.precision) - 1)
     for lo in range(0, n, lanes):
         hi = min(n, lo + lanes)
         y = x[: hi - lo]
         slot = y & mask
         got = table.ids_of(slot)
         ids[lo:hi] = got
-        y = table.freq[got] * (y >> _U(PRECISION)) + slot - table.start[got]
+        y = table.freq[got] * (y >> _U(table.precision)) + slot - table.start[got]
         low = y < LOWEST
         if k := int(low.sum()):
             y[low] = (y[low] << _U(32)) | stream[at : at + k].astype(_U)
@@ -192,13 +203,13 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     counts, on one row of a batch, is how often the batch has each id.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pack = encoder(path), zstandard.ZstdCompressor(level=3)
         end = np.array([END_ID], "<u4")
-        for b in batches:
+        for b in small(batches):
             ids = [np.concatenate([now.encode(t or ""), end]) for t in b.column(1).to_pylist()]
             counts = [pack.compress(np.bincount(np.concatenate(ids)).astype("<u4").tobytes())] if ids else []
             yield pa.RecordBatch.from_arrays(
@@ -223,8 +234,8 @@ def _widen(packed: bytes, n: int) -> np.ndarray:
     return halves[:n].astype("<u4") | (halves[n:].astype("<u4") << 16 if len(halves) > n else 0)
 
 
-def count_ids(tokens: DataFrame) -> Table:
-    """The shared table: the batches' counts are summed in each task, then over all; its size is the vocabulary's."""
+def count_ids(tokens: DataFrame) -> tuple[Table, int]:
+    """The shared table and the number of all ids: the batches' counts are summed in each task, then over all; its size is the vocabulary's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, unpack = np.zeros(1, np.int64), zstandard.ZstdDecompressor()
@@ -239,15 +250,15 @@ def count_ids(tokens: DataFrame) -> Table:
 
     counts = tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = sorted(counts.collect())
-    return Table.of_counts(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64))
+    return Table.of_counts(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64)), sum(r[1] for r in got)
 
 
-def in_parts(tokens: DataFrame) -> DataFrame:
+def in_parts(tokens: DataFrame, n_ids: int) -> DataFrame:
     """tokens in ranges of doc_id, one a partition: part, then the columns, in ascending order within each part."""
-    n = min(MAX_PARTS, max(1, -(-tokens.count() // PART_DOCS)))
-    order = F.col("doc_id").asc_nulls_first()
-    dealt = tokens.drop("counts").repartitionByRange(n, order).select(F.spark_partition_id().alias("part"), "*")
-    return dealt.sortWithinPartitions(order, "ids_crc32")
+    n = max(1, math.ceil(math.sqrt(n_ids / PART_IDS)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("ids_crc32"), F.col("row")]
+    dealt = tokens.drop("counts").repartitionByRange(n, *order).select(F.spark_partition_id().alias("part"), "*")
+    return dealt.sortWithinPartitions(*order).drop("row")
 
 
 _BLOCKS = (
@@ -275,8 +286,8 @@ def _schema(ddl: str, spark: SparkSession) -> pa.Schema:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Writes docs (doc_id, text) to path in the format above."""
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, tokenizer), "tokens", "uncompressed")
-    table = count_ids(tokens)
+    tokens = written(tokenized(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()), "tokens", "uncompressed")
+    table, n_ids = count_ids(tokens)
     schema, shared = _schema(_BLOCKS, spark), spark.sparkContext.broadcast(table.freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +307,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
             yield pa.RecordBatch.from_pylist([_block(part, seq, docs, now)], schema)
 
     head = spark.createDataFrame([(-1, table.freq.astype("<u4").tobytes())], "part int, states binary")
-    in_parts(tokens).mapInArrow(run, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    in_parts(tokens, n_ids).mapInArrow(run, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     dropped(tokens)
     head.write.parquet(f"{path}/table")
 
