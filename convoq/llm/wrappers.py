@@ -13,7 +13,10 @@ name gives all slots of its bodies, and a page that lacks its host's region is j
 The inference reads all pages, whole. Pages of one structure are merged where they are read, so what is
 shuffled is one row for each structure and task; structures of a host are aligned in shares, then the shares.
 
-Defined cases: null html is an empty page with an empty text; pages without a host share one wrapper;
+A page with several regions of the best kind (two articles) gives all of them, in page order.
+
+Defined cases: null html is an empty page with an empty text; pages without a host share one wrapper; a
+very long page is read whole, in the inference, too;
 unclosed elements end with the block around them, an excluded element that is never closed excludes
 nothing; repeated pages are extracted alike; an empty table gives an empty result; extra columns are
 not read.
@@ -35,8 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoq.llm.common import BROADCAST_ROWS, small_batches, written
+from convoq.llm.common import BROADCAST_ROWS, small, written
 from convoq.llm.url_filters import host_of
+from convoq.shipping import ship
 
 #: Shares of a host's structures, so that a hot host is aligned by several tasks.
 SALTS = 32
@@ -64,10 +68,12 @@ SPACES = frozenset(("br", "img", "wbr"))
 DROP_TAGS = frozenset("nav footer aside form button select menu dialog object embed audio video canvas head fieldset label".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter "
-    "subscribe subscription signup popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets related "
-    "recommended recommendations share sharing social comment comments disqus replies footer masthead copyright toolbar pagination pager login".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent gdpr notice notices newsletter "
+    "subscribe subscription signup popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar aside "
+    "comment comments disqus replies footer masthead copyright pagination pager login".split()
 )
+#: Words for menus that may as well name running text: their elements go if at least half of their text is links.
+LINK_WORDS = frozenset("share sharing social related recommended recommendations widget widgets promo promotion toolbar".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
 
 
@@ -344,10 +350,25 @@ def _ends(items: list[Tag | str]) -> dict[int, int]:
     return ends
 
 
-def _dropped(t: Tag, inside: bool) -> bool:
-    if t.name in DROP_TAGS or t.hidden or (t.name == "header" and not inside):
+def _dropped(items: list[Tag | str], i: int, end: int, inside: bool) -> bool:
+    """Whether the element from items[i] to items[end] is no running text."""
+    t = items[i]
+    if t.name in DROP_TAGS or t.hidden or (t.name == "header" and not inside) or t.roles & DROP_ROLES:
         return True
-    return bool(t.roles & DROP_ROLES or (t.hints & DROP_WORDS and t.name not in ("body", "html", "main")))
+    if t.name in ("body", "html", "main"):
+        return False
+    return bool(t.hints & DROP_WORDS or (t.hints & LINK_WORDS and _is_menu(items[i + 1 : end])))
+
+
+def _is_menu(items: list[Tag | str]) -> bool:
+    links = texts = depth = 0
+    for t in items:
+        if isinstance(t, str):
+            n = len("".join(t.split()))
+            texts, links = texts + n, links + n * (depth > 0)
+        elif t.name in ("a", "button"):
+            depth = max(0, depth + (-1 if t.close else 1))
+    return 2 * links >= texts
 
 
 def _blocks(items: list[Tag | str], ends: dict[int, int], start: int, stop: int, inside: bool, constant: Counter[str]) -> list[str]:
@@ -371,7 +392,7 @@ def _blocks(items: list[Tag | str], ends: dict[int, int], start: int, stop: int,
         if isinstance(t, str):
             now.append(t)
         else:
-            if not t.close and i in ends and _dropped(t, inside):
+            if not t.close and i in ends and _dropped(items, i, ends[i], inside):
                 if t.name in BLOCK:
                     close()
                     before = f"</{t.name}>"
@@ -402,7 +423,7 @@ def extract(page: str | None, region: str = "", constant: Sequence[str] = ()) ->
     for i, t in enumerate(items):
         if isinstance(t, str) or t.close or i < skip:
             continue
-        if i in ends and _dropped(t, True):
+        if i in ends and _dropped(items, i, ends[i], True):
             skip = ends[i]
         elif _rank(s := t.signature):
             end = ends.get(i, len(items))
@@ -412,8 +433,6 @@ def extract(page: str | None, region: str = "", constant: Sequence[str] = ()) ->
     size = lambda spans: sum(len(x) for a, b in spans for x in items[a:b] if isinstance(x, str))
     for best in sorted(found, key=lambda s: (s == region, _rank(s), size(found[s]), s), reverse=True):
         spans = found[best]
-        if best == "article" and len(spans) > 1:  # teasers beside the article
-            spans = [max(spans, key=lambda s: (size([s]), -s[0]))]
         left = Counter(constant)
         blocks = [x for a, b in spans for x in _blocks(items, ends, a + 1, b, True, left)]
         if blocks or left == Counter(constant):
@@ -448,7 +467,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _FOLDED.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-    for b in batches:
+    for b in small(batches):
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             items, name = stream(page), xxhash.xxh3_64_hexdigest(page)
             structure = xxhash.xxh3_64_hexdigest(json.dumps(list(map(_key, items))))
@@ -494,7 +513,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, region) for every page."""
-    small_batches(pages.sparkSession)
+    ship(pages.sparkSession)
     found = written(wrappers(pages), "wrappers").select("host", "region", "constant")
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
@@ -502,7 +521,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     page = page.join(found, "host", "left").select("page_id", "url", "html", F.coalesce("region", F.lit("")).alias("region"), F.coalesce("constant", F.array().cast("array<string>")).alias("constant"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = [extract(*x) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)],
