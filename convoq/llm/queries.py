@@ -65,9 +65,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"""list_filter(string_split_regex(translate(regexp_replace(text, '[!-/:-@\[-`{-~]', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda w: w <> '')"""
 _GRAMS = "unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS g"
 
-#: Containment and mixing can be said in SQL. The others are learned, iterated, hashed or decoded; tests/llm holds
-#: them against brute force instead.
+#: How a score moves along edges until what moves is settled: total is what a round moved in all.
+_FLOW = """
+{n}s AS (SELECT host, {seed} AS moved FROM hosts WHERE {seed} > 0),
+{n}f AS (SELECT 0 AS r, host, moved, (SELECT sum(moved) FROM {n}s) AS total, (SELECT sum(moved) FROM {n}s) AS mass FROM {n}s
+  UNION ALL SELECT r + 1, {to}, sum(share * moved * 0.85), sum(sum(share * moved * 0.85)) OVER (), any_value(mass)
+    FROM {n}f JOIN (SELECT src, dst, n / sum(n) OVER (PARTITION BY {of}) AS share FROM links) e ON e.{of} = {n}f.host WHERE total > 1e-6 * mass AND r < 120 GROUP BY r, {to}),
+{n} AS (SELECT host, sum(moved) AS score FROM {n}f GROUP BY host)"""
+_RULED = r"""
+u AS (SELECT page_id, html, coalesce(url, '') AS url FROM pages),
+p0 AS (SELECT page_id, html, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+p1 AS (SELECT page_id, html, host, path, CASE WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/' WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/' WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule FROM p0),
+ruled AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS given FROM p1),
+hosts AS (SELECT host, CAST(count(*) FILTER (given = 'allow') AS DOUBLE) AS allowed, CAST(count(*) FILTER (given = 'block') AS DOUBLE) AS blocked, CAST(count(*) FILTER (given IS NULL) AS DOUBLE) AS unruled FROM ruled WHERE host <> '' GROUP BY host),
+l0 AS (SELECT host AS src, list_distinct(list_transform(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s<>]+)', 1), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS found FROM ruled),
+l1 AS (SELECT src, unnest(found) AS dst FROM l0),
+links AS (SELECT src, dst, count(*) AS n FROM l1 WHERE src <> dst AND src <> '' GROUP BY ALL)"""
+
+#: Rules with link flow, containment and mixing can be said in SQL. The others are learned, hashed or decoded; tests/llm
+#: holds them against brute force instead.
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": "WITH RECURSIVE"
+    + _RULED
+    + ","
+    + _FLOW.format(n="trust", seed="allowed", of="src", to="dst")
+    + ","
+    + _FLOW.format(n="distrust", seed="blocked", of="dst", to="src")
+    + """,
+v AS (SELECT host, coalesce(trust.score, 0) AS t, coalesce(distrust.score, 0) AS d, unruled FROM hosts LEFT JOIN trust USING (host) LEFT JOIN distrust USING (host))
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN d > 0 AND d >= 0.5 * (t + d + unruled) THEN 'block' END, 'allow') AS verdict, coalesce(t, 0) AS host_trust, coalesce(d, 0) AS host_distrust
+FROM ruled LEFT JOIN v USING (host)""",
     "op10_benchmark_decontamination": f"""
 WITH i0 AS (SELECT item_id, row_number() OVER () AS rid, {_WORDS} AS words FROM benchmark WHERE text IS NOT NULL),
 it AS (SELECT *, least(5, len(words)) AS k FROM i0 WHERE len(words) > 0),
@@ -81,7 +110,7 @@ SELECT doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, co
 FROM dw LEFT JOIN ok USING (did) GROUP BY did, doc_id""",
     # Levels are found by ordering sources by the level at which they are full, thresholds by ordering hashes.
     "op3_source_mixing": r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || left(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || left(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)), 15) AS BIGINT) AS h FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w FROM s0),
 s2 AS (SELECT *, 2.0 * source_size / w AS full_at, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS r FROM s1),

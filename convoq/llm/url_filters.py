@@ -11,7 +11,8 @@ hosts' scores are one row per host, and each round of the iteration is a written
 
 Defined cases: a null url or one without `://` has empty host and path and no rule; null html has no
 links; a page without a host is allowed unless a rule says otherwise; repeated rows are judged alike
-and count as links and seeds again; an empty table gives an empty result; extra columns are not read.
+and count as links and seeds again; links are looked for in the whole of a very long page; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -57,9 +58,9 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) between different hosts."""
-    found = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK_REGEX), F.lit(1)))).alias("dst"))
-    found = found.select("src", lower_ascii(F.col("dst")).alias("dst")).where("src <> dst and src <> ''")
+    """(src, dst, n) between different hosts: n pages of src link to dst, however often and in whichever case."""
+    links = F.array_distinct(F.transform(F.regexp_extract_all(F.col("html").cast("string"), F.lit(LINK_REGEX), F.lit(1)), lower_ascii))
+    found = pages.select(host_of(F.col("url").cast("string")).alias("src"), F.explode(links).alias("dst")).where("src <> dst and src <> ''")
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -96,13 +97,15 @@ def host_scores(pages: DataFrame, judged: DataFrame) -> DataFrame:
     against = links.join(incoming, F.col("dst") == F.col("d")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("total")).alias("share"))
     trust = propagate(hosts.where("allowed > 0").select("host", F.col("allowed").alias("seed")), written(along, "edges"))
     distrust = propagate(hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed")), written(against, "edges"))
+    dropped(links)
     both = hosts.select("host", "unruled").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
     return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "unruled")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_trust, host_distrust) for every page."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    url = F.col("url").cast("string")
+    host, path = host_of(url), path_of(url)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("verdict"))
     scores = written(host_scores(pages, ruled.select("host", "verdict")), "host_scores")
