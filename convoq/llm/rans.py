@@ -51,7 +51,7 @@ LANES = 2048
 #: ranges), and pieces in a worker's table.
 BLOCK_IDS = 1 << 20
 PART_IDS = 1 << 15
-CACHE = 500_000
+CACHE = 800_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces: a word; points after it; a line feed; whatever else stands between white space; white space with what follows.
 _PIECE = re.compile(rf" ?[{_LATIN}]++(?![^\W\d_])|(?<=[{_LATIN}])[.,!?;:]++(?=[ \n]|\Z)|(?<=\S)\n(?=\S)| ?\S+|\s+\S*")
