@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ LANES = 2048
 #: Ids after which a block ends (with its document), ids for which there is one range (n**2 times as many ids have n
 #: ranges), and pieces in a worker's table.
 BLOCK_IDS = 1 << 20
-PART_IDS = 1 << 15
+PART_IDS = 1 << 18
 CACHE = 800_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces: a word; points after it; a line feed; whatever else stands between white space; white space with what follows.
@@ -78,7 +79,7 @@ class _Known(dict):
     """
 
     def __init__(self, tokenizer, kind: str):
-        self.tokenizer, self.kind, self.last = tokenizer, kind, {}
+        self.tokenizer, self.kind, self.last = tokenizer, {"<u2": "H", "<u4": "I"}[kind], {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE // 2:
@@ -93,7 +94,7 @@ class _Known(dict):
             ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
+        return array(self.kind, ids).tobytes()
 
 
 class Encoder:
@@ -207,7 +208,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pack = encoder(path), zstandard.ZstdCompressor(level=3)
+        now, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         end = np.array([END_ID], "<u4")
         for b in small(batches):
             ids = [np.concatenate([now.encode(t or ""), end]) for t in b.column(1).to_pylist()]
