@@ -57,28 +57,44 @@ def text_chunks(df: DataFrame, keys: list[str], idx: str, least_chars: int = 6,
     return c.select(*keys, n.cast("long").alias("chunk_idx"), "chunk")
 
 
+def _bag(chunk: Column) -> Column:
+    """A chunk's distinct tokens as numbers."""
+    return F.transform(F.array_distinct(tokenize(chunk)), lambda t: F.xxhash64(t))
+
+
+def _measured(bag: Column, others: Column) -> Column:
+    """For each of an array of (idx, bag): idx, n common tokens, overlap n / size of bag, similarity n / root of both sizes."""
+    counted = F.transform(others, lambda o: F.struct(o["idx"].alias("idx"), F.size(F.array_intersect(bag, o["bag"])).alias("n"), F.size(o["bag"]).alias("size")))
+    some = lambda o, x: F.when(o["n"] > 0, o["n"] / x).otherwise(F.lit(0.0))
+    return F.transform(counted, lambda o: F.struct(o["idx"].alias("idx"), o["n"].alias("n"), some(o, F.size(bag)).alias("overlap"), some(o, F.sqrt((F.size(bag) * o["size"]).cast("double"))).alias("similarity")))
+
+
+def _best(bag: Column, others: Column, k: int) -> Column:
+    """The k of `others` with the largest overlap, ties to the later one."""
+    order = F.transform(_measured(bag, others), lambda o: F.struct((-o["overlap"]).alias("o"), (-o["idx"]).alias("i"), o["similarity"].alias("s")))
+    return F.transform(F.slice(F.array_sort(order), 1, k), lambda o: F.struct((-o["i"]).alias("idx"), (-o["o"]).alias("overlap"), o["s"].alias("similarity")))
+
+
+def _closest(bag: Column, others: Column) -> Column:
+    """The one of `others` with the largest similarity over 0, ties to the earlier one; null without any."""
+    order = F.transform(F.filter(_measured(bag, others), lambda o: o["n"] > 0), lambda o: F.struct(o["similarity"].alias("s"), (-o["idx"]).alias("i"), o["overlap"].alias("o")))
+    return F.array_max(order)
+
+
+def _gathered(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    return chunks.groupBy(*keys).agg(F.collect_list(F.struct(F.col("chunk_idx").alias("idx"), _bag(F.col("chunk")).alias("bag"))).alias("__others"))
+
+
 def best_chunks(gt: DataFrame, pred: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     """(keys, gt_idx, rank, pred_idx, overlap, similarity): for each reference chunk the k predicted ones of largest
     token overlap, ties to the later chunk.
 
-    Chunks that share no token have overlap 0 and come in only to fill up, so the pairs that are scored come from an
-    inverted index of tokens, and the filling from the last k chunks of the group: no cross join.
+    A group's predicted chunks come to each reference chunk as one array, so pairs are compared in the row and only the
+    k best become rows; a group is one layer of one meeting's summary.
     """
-    g = gt.select(*keys, F.col("chunk_idx").alias("gt_idx"), F.array_distinct(tokenize(F.col("chunk"))).alias("t"))
-    p = pred.select(*keys, F.col("chunk_idx").alias("pred_idx"), F.array_distinct(tokenize(F.col("chunk"))).alias("t"))
-    g1 = g.select(*keys, "gt_idx", F.size("t").alias("ng"), F.explode("t").alias("t"))
-    p1 = p.select(*keys, "pred_idx", F.size("t").alias("np"), F.explode("t").alias("t"))
-    cols = [*keys, "gt_idx", "pred_idx", "ng", "np", "w"]
-    share = g1.join(p1, [*keys, "t"]).withColumn("w", F.lit(1)).select(*cols)
-    late = p.select(*keys, "pred_idx").withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pred_idx")))).where(F.col("__r") <= k)
-    fill = g.select(*keys, "gt_idx").join(late, keys).select(*keys, "gt_idx", "pred_idx", F.lit(0).alias("ng"), F.lit(0).alias("np"), F.lit(0).alias("w"))
-    s = share.unionByName(fill).groupBy(*keys, "gt_idx", "pred_idx").agg(F.sum("w").alias("n"), F.max("ng").alias("ng"), F.max("np").alias("np"))
-    some = F.col("n") > 0
-    overlap = F.when(some, F.col("n") / F.col("ng")).otherwise(F.lit(0.0))
-    similarity = F.when(some, F.col("n") / F.sqrt((F.col("ng") * F.col("np")).cast("double"))).otherwise(F.lit(0.0))
-    s = s.select(*keys, "gt_idx", "pred_idx", overlap.alias("overlap"), similarity.alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "gt_idx").orderBy(F.desc("overlap"), F.desc("pred_idx")))
-    return s.withColumn("rank", rank).where(F.col("rank") <= k)
+    g = gt.select(*keys, F.col("chunk_idx").alias("gt_idx"), _bag(F.col("chunk")).alias("__bag")).join(_gathered(pred, keys), keys)
+    top = g.select(*keys, "gt_idx", F.posexplode(_best(F.col("__bag"), F.col("__others"), k)).alias("rank", "b"))
+    return top.select(*keys, "gt_idx", (F.col("rank") + 1).alias("rank"), F.col("b.idx").alias("pred_idx"), "b.overlap", "b.similarity")
 
 
 def layer_ics(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,19 +124,36 @@ def compression(original: DataFrame, summary: DataFrame, by: list[str]) -> DataF
 def claim_support(claims: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, claim_idx, best_idx, similarity, overlap, unsupported): each claim against its most similar chunk.
 
-    Only chunks that share a token can have a similarity over 0; they come from an inverted index. A claim that
-    shares no token with any chunk has similarity and overlap 0.
+    A group's chunks come to each claim as one array. A claim that shares no token with any chunk has similarity and
+    overlap 0.
     """
-    c = claims.select(*keys, F.col("chunk_idx").alias("claim_idx"), F.array_distinct(tokenize(F.col("chunk"))).alias("ct"))
-    t = chunks.select(*keys, F.col("chunk_idx").alias("text_idx"), F.array_distinct(tokenize(F.col("chunk"))).alias("tt"))
-    common = c.select(*keys, "claim_idx", F.size("ct").alias("nc"), F.explode("ct").alias("w")).join(t.select(*keys, "text_idx", F.size("tt").alias("nt"), F.explode("tt").alias("w")), [*keys, "w"])
-    common = common.groupBy(*keys, "claim_idx", "text_idx", "nc", "nt").agg(F.count("*").alias("n"))
-    sim = F.col("n") / F.sqrt((F.col("nc") * F.col("nt")).cast("double"))
-    best = common.withColumn("similarity", sim).withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "claim_idx").orderBy(F.desc("similarity"), "text_idx"))).where("__r = 1")
-    best = best.select(*keys, "claim_idx", F.col("text_idx").alias("best_idx"), "similarity", (F.col("n") / F.col("nc")).alias("overlap"))
-    j = c.select(*keys, "claim_idx").join(best, [*keys, "claim_idx"], "left")
-    s, o = F.coalesce("similarity", F.lit(0.0)), F.coalesce("overlap", F.lit(0.0))
-    return j.select(*keys, "claim_idx", "best_idx", s.alias("similarity"), o.alias("overlap"), ((s < SIMILAR) & (o < OVERLAPS)).alias("unsupported"))
+    c = claims.select(*keys, F.col("chunk_idx").alias("claim_idx"), _bag(F.col("chunk")).alias("__bag")).join(_gathered(chunks, keys), keys, "left")
+    c = c.select(*keys, "claim_idx", _closest(F.col("__bag"), F.col("__others")).alias("b"))
+    s, o = F.coalesce("b.s", F.lit(0.0)), F.coalesce("b.o", F.lit(0.0))
+    return c.select(*keys, "claim_idx", (-F.col("b.i")).alias("best_idx"), s.alias("similarity"), o.alias("overlap"), ((s < SIMILAR) & (o < OVERLAPS)).alias("unsupported"))
+
+
+def layer_scores(reference: DataFrame, predicted: DataFrame, keys: list[str], idx: str = "unit_idx", least_chars: int = 6, least_tokens: int = 4) -> DataFrame:
+    """(keys, ics, n_claims, n_unsupported, n_in, n_out): coverage, support and compression of each layer at once.
+
+    Texts (keys, idx, text) of both sides are cut and tokenised once and gathered by one shuffle; the scores are those of
+    layer_ics, claim_support and compression. Only layers with reference texts have a row.
+    """
+    both = reference.select(*keys, F.lit(0).alias("side"), idx, "text").unionByName(predicted.select(*keys, F.lit(1).alias("side"), idx, "text"))
+    parts = F.filter(F.transform(F.split("text", r"[.!?]+"), normalize), lambda c: F.length(c) >= least_chars)
+    made = F.transform(parts, lambda c: F.struct(token_count(c).alias("n"), _bag(c).alias("bag")))
+    side = lambda k, x: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct(F.col(idx).alias("o"), made.alias("x"))))), lambda u: u["x"])).alias(x)
+    tokens = lambda k: F.sum(F.when(F.col("side") == k, token_count(F.col("text"))).otherwise(0)).cast("long")
+    g = both.groupBy(*keys).agg(side(0, "gt"), side(1, "pred"), F.count_if(F.col("side") == 0).alias("units"), tokens(0).alias("n_in"), tokens(1).alias("n_out")).where("units > 0")
+    number = lambda a: F.transform(a, lambda c, i: F.struct(i.alias("idx"), c["bag"].alias("bag")))
+    g = g.select(*keys, "n_in", "n_out", F.filter("gt", lambda c: c["n"] >= least_tokens).alias("main"), number("gt").alias("gt"), number("pred").alias("pred"))
+    weights = F.array(*[F.lit(w) for w in TOP_WEIGHTS])
+    worth = lambda top: F.aggregate(F.transform(top, lambda b, i: F.element_at(weights, i + 1) * (0.7 * b["overlap"] + 0.3 * b["similarity"])), F.lit(0.0), lambda s, x: s + x)
+    covered = F.transform("main", lambda c: F.least(F.lit(1.0), worth(_best(c["bag"], F.col("pred"), len(TOP_WEIGHTS)))))
+    ics = F.when(F.size("main") > 0, F.aggregate(covered, F.lit(0.0), lambda s, x: s + x) / F.size("main"))
+    support = F.transform("pred", lambda c: _closest(c["bag"], F.col("gt")))
+    bad = F.filter(support, lambda b: (F.coalesce(b["s"], F.lit(0.0)) < SIMILAR) & (F.coalesce(b["o"], F.lit(0.0)) < OVERLAPS))
+    return g.select(*keys, ics.alias("ics"), F.size("pred").cast("long").alias("n_claims"), F.size(bad).cast("long").alias("n_unsupported"), "n_in", "n_out")
 
 
 def rouge_l(reference: DataFrame, prediction: DataFrame, by: list[str]) -> DataFrame:
@@ -151,19 +184,96 @@ def lcs(a: list[str], b: list[str]) -> int:
     return row.bit_count()
 
 
+# Fixed values of the stemmer: suffixes by step, each with what takes its place, and irregular words.
+_STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"),
+)
+_STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+_IRREGULAR = {
+    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+
+
+def _shape(word: str) -> str:
+    """c or v for each letter; y is a vowel after a consonant."""
+    out = ""
+    for ch in word:
+        out += "v" if ch in "aeiou" or (ch == "y" and out[-1:] == "c") else "c"
+    return out
+
+
+def _measure(word: str) -> int:
+    """How often a consonant follows a vowel."""
+    return _shape(word).count("vc")
+
+
+def _short(word: str) -> bool:
+    """Ends in consonant, vowel, consonant other than w, x, y; or is a vowel and a consonant."""
+    k = _shape(word)
+    return (k.endswith("cvc") and word[-1] not in "wxy") or k == "vc"
+
+
 def stem(word: str) -> str:
-    """A light stemmer for words over three letters: plural, -ed and -ing endings go."""
+    """Porter's stemmer in its common extended form, for words over three letters."""
     if len(word) <= 3:
         return word
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(end):
-            word = word[: len(word) - len(end)] + new
+    if word in _IRREGULAR:
+        return _IRREGULAR[word]
+    w = word
+    # Plurals.
+    if w.endswith("ies"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    # Past and progressive forms.
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) else w
+    else:
+        cut = next((e for e in ("ed", "ing") if w.endswith(e) and "v" in _shape(w[: -len(e)])), "")
+        if cut:
+            w = w[: -len(cut)]
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif len(w) > 1 and w[-1] == w[-2] and _shape(w)[-1] == "c":
+                w = w if w[-1] in "lsz" else w[:-1]
+            elif _measure(w) == 1 and _short(w):
+                w += "e"
+    if w.endswith("y") and len(w) > 2 and _shape(w)[-2] == "c":
+        w = w[:-1] + "i"
+    w = _second(w)
+    for end, new in _STEP3:
+        if w.endswith(end):
+            w = w[: -len(end)] + new if _measure(w[: -len(end)]) else w
+            break
+    for end in sorted(_STEP4, key=len, reverse=True):
+        if w.endswith(end):
+            base = w[: -len(end)]
+            if _measure(base) > 1 and (end != "ion" or base[-1:] in ("s", "t")):
+                w = base
             break
-    for end in ("ing", "ed"):
-        if word.endswith(end) and any(c in "aeiouy" for c in word[: -len(end)]):
-            word = word[: -len(end)]
-            return word[:-1] if len(word) > 2 and word[-1] == word[-2] and word[-1] not in "lsz" else word
-    return word
+    if w.endswith("e"):
+        base = w[:-1]
+        if _measure(base) > 1 or (_measure(base) == 1 and not _short(base)):
+            w = base
+    return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
+
+
+def _second(w: str) -> str:
+    if w.endswith("alli") and _measure(w[:-4]):
+        return _second(w[:-2])
+    if w.endswith("logi") and _measure(w[:-3]):
+        return w[:-1]
+    for end, new in sorted(_STEP2, key=lambda x: -len(x[0])):
+        if w.endswith(end):
+            return w[: -len(end)] + new if _measure(w[: -len(end)]) else w
+    return w
 
 
 def topic_distinctness(spans: DataFrame) -> DataFrame:

@@ -133,12 +133,37 @@ def hallucination_rate(spark, d):
 @query("WITH " + _BASE + _ICS + _HR.replace(_chunks("pred_texts", "text_idx", "pc"), "") + _CR + """, h AS (SELECT meeting_id, sum(n_unsupported) / sum(n_claims) AS hr FROM hr GROUP BY 1), c AS (SELECT meeting_id, sum(n_out) / greatest(sum(n_in), 1) AS cr FROM cr GROUP BY 1)
   SELECT oi.meeting_id, round(oi.ics, 5) AS ics, round(coalesce(h.hr, 0), 5) AS hr, round(c.cr, 5) AS cr, round(oi.ics * (1 - coalesce(h.hr, 0)) * (1 - c.cr), 5) AS score FROM oi LEFT JOIN h USING (meeting_id) JOIN c USING (meeting_id)""")
 def summary_score(spark, d):
-    ics = C.overall_ics(_ics(spark, d))
-    h = _support(spark, d).groupBy("meeting_id").agg((F.count_if("unsupported") / F.count("*")).alias("hr"))
-    c = C.compression(A.gt_units(spark, d), A.pred_texts(spark, d), _KEYS).groupBy("meeting_id").agg((F.sum("n_out") / F.greatest(F.sum("n_in"), F.lit(1))).alias("cr"))
-    j = ics.join(h, "meeting_id", "left").join(c, "meeting_id")
-    hr = F.coalesce("hr", F.lit(0.0))
-    return j.select("meeting_id", F.round("ics", 5).alias("ics"), F.round(hr, 5).alias("hr"), F.round("cr", 5).alias("cr"), F.round(F.col("ics") * (1 - hr) * (1 - F.col("cr")), 5).alias("score"))
+    s = C.layer_scores(A.gt_units(spark, d), A.pred_texts(spark, d).withColumnRenamed("text_idx", "unit_idx"), _KEYS)
+    weight = F
+    for layer, x in C.LAYER_WEIGHTS.items():
+        weight = weight.when(F.col("layer") == layer, x)
+    claims, n_in = F.sum("n_claims"), F.sum("n_in")
+    m = s.groupBy("meeting_id").agg(
+        (F.sum(weight.otherwise(0.0) * F.col("ics")) / sum(C.LAYER_WEIGHTS.values())).alias("ics"), F.when(claims > 0, F.sum("n_unsupported") / claims).otherwise(0.0).alias("hr"), (F.sum("n_out") / F.greatest(n_in, F.lit(1))).alias("cr")
+    )
+    score = F.col("ics") * (1 - F.col("hr")) * (1 - F.col("cr"))
+    return m.where("ics is not null").select("meeting_id", F.round("ics", 5).alias("ics"), F.round("hr", 5).alias("hr"), F.round("cr", 5).alias("cr"), F.round(score, 5).alias("score"))
+
+
+def _most_common(keys: str, rows: str) -> str:
+    """SQL of plugins.summaries with two texts: the rows' tokens, the groups' texts that hold each, the two with the largest mean."""
+    return f"""SELECT {keys}, idx, text, round(coalesce(avg(held), 0), 6) AS worth FROM (SELECT {keys}, idx, text, token, CASE WHEN token IS NOT NULL THEN count(*) OVER (PARTITION BY {keys}, token) END AS held
+    FROM (SELECT {keys}, idx, text, unnest(CASE WHEN len(k) > 0 THEN k ELSE [NULL] END) AS token FROM (SELECT {keys}, idx, text, {_tok('text')} AS k FROM {rows}))) GROUP BY {keys}, idx, text QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY worth DESC, idx) <= 2"""
+
+
+@query("WITH " + A.UTTERANCES + f""", tg AS (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY meeting_id ORDER BY start_ms, utt_idx) AS gap FROM utterances),
+  tt AS (SELECT meeting_id, 'topic' AS layer, CAST(least(sum(CASE WHEN gap * 4 > 90000 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY start_ms, utt_idx), 3) AS VARCHAR) AS part, utt_idx AS idx, text FROM tg),
+  al AS (SELECT * FROM tt UNION ALL SELECT meeting_id, 'participant', speaker, utt_idx, text FROM utterances UNION ALL SELECT meeting_id, 'meeting', '', utt_idx, text FROM utterances),
+  sm AS ({_most_common('meeting_id, layer, part', 'al')})
+  SELECT meeting_id, layer, part, count(*) FILTER (worth > 0) AS n, coalesce(string_agg(text, ' ' ORDER BY idx) FILTER (worth > 0), '') AS summary FROM sm GROUP BY ALL""")
+def layer_summaries(spark, d):
+    """The default generator's summaries of speakers, topics and meetings."""
+    from convoq.operators.sequence import topic_groups
+    from convoq.plugins import summaries
+
+    u = topic_groups(A.utterances(spark, d), "meeting_id", "utt_idx")
+    parts = F.array(*[F.struct(F.lit(k).alias("layer"), c.alias("part")) for k, c in (("topic", F.col("topic_idx").cast("string")), ("participant", F.col("speaker")), ("meeting", F.lit("")))])
+    return summaries(u.select("meeting_id", "utt_idx", "text", F.explode(parts).alias("p")).select("meeting_id", "utt_idx", "text", "p.*"), ["meeting_id", "layer", "part"], "utt_idx")
 
 
 @query()
