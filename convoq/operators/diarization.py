@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from convoq.operators.intervals import frames, overlap_join, overlap_ms, sweep
@@ -181,17 +181,38 @@ def joined_stretches(sw: DataFrame) -> DataFrame:
 
 
 def issues(sw: DataFrame) -> DataFrame:
-    """(meeting_id, issue, label, n): OSCILLATION, MERGE, SPLIT and EMPTY of a mapped sweep."""
-    gt_runs, sys_runs = runs(sw, "gt"), runs(sw, "sys_gt")
-    n = lambda df, name: df.groupBy("meeting_id").agg(F.count("*").alias(name))
-    swing = n(sys_runs, "s").join(n(gt_runs, "g"), "meeting_id", "left").where(F.col("s") > F.coalesce("g", F.lit(0)))
-    merge = sw.where("sys is not null and gt is not null").groupBy("meeting_id", "sys").agg(F.countDistinct("gt").alias("n")).where("n > 1")
-    split = sw.where("gt is not null and sys_gt is not null").groupBy("meeting_id", "gt").agg(F.countDistinct("sys_gt").alias("n")).where("n > 1")
-    empty = sw.groupBy("meeting_id").agg(F.count("gt").alias("g"), F.count("sys").alias("s")).where("g = 0 or s = 0")
-    row = lambda df, kind, label, n: df.select("meeting_id", F.lit(kind).alias("issue"), label.alias("label"), n.cast("long").alias("n"))
-    return (
-        row(swing, "OSCILLATION", F.lit(""), F.col("s")).union(row(merge, "MERGE", F.col("sys"), F.col("n"))).union(row(split, "SPLIT", F.col("gt"), F.col("n"))).union(row(empty, "EMPTY", F.lit(""), F.lit(0)))
+    """(meeting_id, issue, label, n): OSCILLATION, MERGE, SPLIT and EMPTY of a mapped sweep.
+
+    One pass: a window finds where runs of either side begin, one aggregation by meeting counts them and gathers the
+    pairs of speakers (few, however long the meeting), and the issues are made in the meeting's row.
+    """
+    before = Window.partitionBy("meeting_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    begins = lambda c: F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.last(c, ignorenulls=True).over(before))
+    pair = lambda a, b: F.collect_set(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).alias("a"), F.col(b).alias("b"))))
+    seen = sw.select("meeting_id", "gt", "sys", "sys_gt", begins("gt").alias("new_gt"), begins("sys_gt").alias("new_sys"))
+    m = seen.groupBy("meeting_id").agg(
+        F.count_if("new_gt").alias("g"), F.count_if("new_sys").alias("s"), F.count("gt").alias("n_gt"), F.count("sys").alias("n_sys"), pair("sys", "gt").alias("merged"), pair("gt", "sys_gt").alias("split")
     )
+    row = lambda kind, label, n: F.struct(F.lit(kind).alias("issue"), label.alias("label"), n.cast("long").alias("n"))
+
+    def several(pairs: str, kind: str) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["a"]))
+        counted = F.transform(names, lambda a: row(kind, a, F.size(F.filter(F.col(pairs), lambda p: p["a"] == a))))
+        return F.filter(counted, lambda r: r["n"] > 1)
+
+    none = F.array().cast("array<struct<issue string, label string, n bigint>>")
+    one = lambda found, r: F.when(found, F.array(r)).otherwise(none)
+    all_ = F.concat(
+        one(F.col("s") > F.col("g"), row("OSCILLATION", F.lit(""), F.col("s"))), several("merged", "MERGE"), several("split", "SPLIT"),
+        one((F.col("n_gt") == 0) | (F.col("n_sys") == 0), row("EMPTY", F.lit(""), F.lit(0))),
+    )
+    return m.select("meeting_id", F.explode(all_).alias("i")).select("meeting_id", "i.*")
+
+
+def observed(counts: DataFrame, name: str = "errors") -> tuple[DataFrame, Observation]:
+    """Error counts (missed, false_alarm, confusion, total) with their sums as metrics of whatever action runs on them."""
+    o = Observation(name)
+    return counts.observe(o, *[F.sum(c).alias(c) for c in ("missed", "false_alarm", "confusion", "total")]), o
 
 
 def error_intervals(sw: DataFrame, window: int = 5, merge_gap: int = 50) -> DataFrame:

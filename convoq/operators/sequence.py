@@ -136,29 +136,32 @@ def appearance_labels(df: DataFrame, partition: str, order: str, cluster: str) -
 def capped_groups(df: DataFrame, partition: str, order: str, max_gap: int = 800, max_length: int = 30_000) -> DataFrame:
     """Neighbours of one speaker join while the gap is at most max_gap and the whole at most max_length.
 
-    Whether a row joins depends on how long its group has become, so groups come from a fold over a meeting's rows.
+    A new speaker or a long gap ends a group whatever came before, so these chains are cut by a window. Only within a
+    chain does it depend on how long the group has become whether a row joins: a fold over the chain's rows.
     """
-    rows = F.array_sort(F.collect_list(F.struct("start_ms", order, "end_ms", "speaker")))
-    group = "struct<s bigint, e bigint, speaker string, n bigint>"
+    w = _w(partition, "start_ms", order)
+    joins = (F.col("speaker") == F.lag("speaker").over(w)) & (F.col("start_ms") - F.lag("end_ms").over(w) <= max_gap)
+    chains = numbered(df, ~F.coalesce(joins, F.lit(False)), partition, "start_ms", order, name="__chain")
+    group = "struct<s bigint, e bigint, n bigint>"
     state = f"struct<done array<{group}>, now {group}>"
-    zero = F.lit(None).cast(state)
 
     def fold(acc: Column, x: Column) -> Column:
-        now = acc["now"]
-        fits = (now["speaker"] == x["speaker"]) & (x["start_ms"] - now["e"] <= max_gap) & (x["end_ms"] - now["s"] <= max_length)
-        new = F.struct(x["start_ms"].cast("long").alias("s"), x["end_ms"].cast("long").alias("e"), x["speaker"].alias("speaker"), F.lit(1).cast("long").alias("n"))
-        more = F.struct(now["s"].alias("s"), x["end_ms"].cast("long").alias("e"), now["speaker"].alias("speaker"), (now["n"] + 1).alias("n"))
-        none = F.array().cast(f"array<{group}>")
+        now, end = acc["now"], x["end_ms"].cast("long").alias("e")
+        fits = x["end_ms"] - now["s"] <= max_length
+        new = F.struct(x["start_ms"].cast("long").alias("s"), end, F.lit(1).cast("long").alias("n"))
+        more = F.struct(now["s"].alias("s"), end, (now["n"] + 1).alias("n"))
         return (
-            F.when(acc.isNull(), F.struct(none.alias("done"), new.alias("now")))
+            F.when(acc.isNull(), F.struct(F.array().cast(f"array<{group}>").alias("done"), new.alias("now")))
             .when(fits, F.struct(acc["done"].alias("done"), more.alias("now")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(now)).alias("done"), new.alias("now")))
+            .otherwise(F.struct(F.array_append(acc["done"], now).alias("done"), new.alias("now")))
             .cast(state)
         )
 
-    groups = df.groupBy(partition).agg(F.aggregate(rows, zero, fold, lambda a: F.concat(a["done"], F.array(a["now"]))).alias("g"))
-    g = groups.select(partition, F.posexplode("g").alias("group_idx", "g"))
-    return g.select(partition, F.col("group_idx").cast("long").alias("group_idx"), F.col("g.speaker").alias("speaker"), F.col("g.s").alias("start_ms"), F.col("g.e").alias("end_ms"), F.col("g.n").alias("n_parts"))
+    rows = F.array_sort(F.collect_list(F.struct("start_ms", order, "end_ms")))
+    folded = F.aggregate(rows, F.lit(None).cast(state), fold, lambda a: F.array_append(a["done"], a["now"]))
+    g = chains.groupBy(partition, "__chain", "speaker").agg(folded.alias("g")).select(partition, "__chain", "speaker", F.posexplode("g").alias("__pos", "g"))
+    place = F.row_number().over(_w(partition, "__chain", "__pos")) - 1
+    return g.select(partition, place.cast("long").alias("group_idx"), "speaker", F.col("g.s").alias("start_ms"), F.col("g.e").alias("end_ms"), F.col("g.n").alias("n_parts"))
 
 
 def merge_overlapping(spans: Column, overlap: int = 6) -> Column:
