@@ -9,31 +9,24 @@ from pyspark.sql import functions as F
 
 from convoq.functions.vectors import cosine, dot, euclidean
 
-#: Rows of a side that is joined to all rows of the other; more rows are taken in blocks of this many.
-BLOCK_ROWS = 2_000
 #: Fixed values of the reassignment.
 FIRM = 0.35
 OUTLIER_STD = 1.5
+#: Rows of a group that is clustered in one task (a matrix of doubles of 200 MB).
+MOST_ROWS = 5_000
 
 
-def _blocks(queries: DataFrame, key: str, rows: int) -> list[DataFrame]:
-    n = max(1, -(-queries.count() // rows))
-    return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 30, key: str = "vec_id", vector: str = "embedding", rows: int = BLOCK_ROWS) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 30, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors of largest cosine for each query, ties to the smaller id.
 
-    Queries are broadcast in blocks of bounded size; each partition keeps its best k per query before the shuffle.
+    The exact form: every query meets every vector. Spark broadcasts the queries if their size allows it and deals both
+    sides otherwise; each partition keeps its best k of a query before the shuffle. `operators.index` has the form whose
+    work does not grow with queries times vectors.
     """
-    out = None
-    for block in _blocks(queries, key, rows):
-        q = F.broadcast(block.select(F.col(key).alias("query_id"), F.col(vector).alias("__q")))
-        s = vectors.join(q, F.lit(True)).select("query_id", F.col(key).alias("vec_id"), F.round(cosine(F.col("__q"), F.col(vector)), 9).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        s = s.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = s if out is None else out.unionByName(s)
-    return out.select("query_id", "rank", "vec_id", "score")
+    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q"))
+    s = vectors.crossJoin(q).select("query_id", F.col(key).alias("vec_id"), F.round(cosine(F.col("__q"), F.col(vector)), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return s.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def rerank(hits: DataFrame, score: Column, k: int = 5) -> DataFrame:
@@ -44,25 +37,24 @@ def rerank(hits: DataFrame, score: Column, k: int = 5) -> DataFrame:
 
 
 def centroids(vectors: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
-    """(by, n, centroid): the mean vector of each group."""
-    d = vectors.select(*by, F.posexplode(vector).alias("i", "x"))
-    m = d.groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    return m.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+    """(by, n, centroid): the mean vector of each group, one partial mean a group and task before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = vectors.select(*by, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
+    return v.groupBy(*by).agg(F.count("*").alias("n"), Summarizer.mean(F.col("v")).alias("m")).select(*by, "n", vector_to_array("m").alias("centroid"))
 
 
 def nearest_centroid(vectors: DataFrame, cents: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding", metric: str = "cosine") -> DataFrame:
-    """(key, cluster, score): the closest centroid, ties to the smaller label.
+    """(key, cluster, score): the closest centroid, ties to the smaller label; null without centroids.
 
-    metric: cosine, dot, or euclidean with score 1 / (1 + distance). Centroids are few: one row per cluster.
+    metric: cosine, dot, or euclidean with score 1 / (1 + distance). Centroids are few, one for each cluster, so all of them come to
+    each row as one array, and nothing is shuffled.
     """
-    c = cents.select(F.col(label).alias("cluster"), F.col("centroid").alias("__c"))
-    v, w = F.col(vector), F.col("__c")
-    score = {"cosine": cosine(v, w), "dot": dot(v, w), "euclidean": 1 / (1 + euclidean(v, w))}[metric]
-    out = None
-    for block in _blocks(c, "cluster", BLOCK_ROWS):
-        s = vectors.join(F.broadcast(block), F.lit(True)).select(key, F.struct(F.round(score, 9).alias("score"), (-F.col("cluster")).alias("neg")).alias("b"))
-        out = s if out is None else out.unionByName(s)
-    best = out.groupBy(key).agg(F.max("b").alias("b"))
+    of = {"cosine": cosine, "dot": dot, "euclidean": lambda v, w: 1 / (1 + euclidean(v, w))}[metric]
+    all_ = cents.agg(F.collect_list(F.struct(F.col(label).alias("cluster"), F.col("centroid").alias("c"))).alias("__all"))
+    scored = F.transform("__all", lambda c: F.struct(F.round(of(F.col(vector), c["c"]), 9).alias("score"), (-c["cluster"]).alias("neg")))
+    best = vectors.crossJoin(F.broadcast(all_)).select(key, F.array_max(scored).alias("b"))
     return best.select(key, (-F.col("b.neg")).alias("cluster"), F.col("b.score").alias("score"))
 
 
@@ -74,11 +66,16 @@ def outliers(vectors: DataFrame, by: list[str], key: str = "vec_id", vector: str
 
 
 def reassign(outlying: DataFrame, skipped: DataFrame, cents: DataFrame, key: str = "vec_id", firm: float = FIRM, metric: str = "dot") -> DataFrame:
-    """(key, origin, cluster, score, tentative) of outliers, then skipped ones; without centroids each is a cluster of its own."""
+    """(key, origin, cluster, score, tentative) of outliers, then skipped ones; a score under `firm` is tentative.
+
+    Without centroids each candidate is a cluster of its own, numbered from 0 in that order, with score 0.
+    """
     both = outlying.select(key, "embedding", F.lit("outlier").alias("origin")).unionByName(skipped.select(key, "embedding", F.lit("skipped").alias("origin")))
-    got = nearest_centroid(both, cents, key, metric=metric)
-    j = both.select(key, "origin").join(got, key, "left")
-    return j.select(key, "origin", "cluster", F.coalesce("score", F.lit(0.0)).alias("score"), (F.coalesce("score", F.lit(0.0)) < firm).alias("tentative"))
+    if not cents.limit(1).count():
+        number = F.row_number().over(Window.orderBy("origin", key)) - 1  # candidates of one meeting
+        return both.select(key, "origin", number.cast(cents.schema["label"].dataType).alias("cluster"), F.lit(0.0).alias("score"), F.lit(True).alias("tentative"))
+    got = nearest_centroid(both.select("*", F.struct("origin", key).alias("__k")), cents, "__k", metric=metric)
+    return got.select(F.col(f"__k.{key}").alias(key), "__k.origin", "cluster", "score", (F.col("score") < firm).alias("tentative"))
 
 
 def contingency(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -101,27 +98,38 @@ def agreement(table: DataFrame) -> DataFrame:
     )
 
 
-def silhouette(vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding", rows: int = BLOCK_ROWS) -> DataFrame:
+def silhouette(vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """(label, n, silhouette): mean silhouette with cosine distance, by the exact pairwise definition.
 
     A vector's summed distance to a cluster is its size minus the dot product with the sum of the cluster's unit
-    vectors, so no pairs are made: each vector meets each cluster once.
+    vectors, so no pairs are made: each vector meets the array of clusters in its own row.
     """
     unit = vectors.select(key, label, F.transform(vector, lambda x: x.cast("double")).alias("v"))
     unit = unit.select(key, label, F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))).alias("v"))
-    c = centroids(unit, [label], "v").select(F.col(label).alias("other"), F.col("n").alias("size"), F.col("centroid").alias("mean"))
-    s = None
-    for block in _blocks(c, "other", rows):
-        part = unit.join(F.broadcast(block), F.lit(True)).select(key, label, "other", "size", (F.col("size") - F.col("size") * dot(F.col("v"), F.col("mean"))).alias("d"))
-        s = part if s is None else s.unionByName(part)
-    own = F.max(F.when(F.col("other") == F.col(label), F.struct(F.col("d"), F.col("size"))))
-    near = F.min(F.when(F.col("other") != F.col(label), F.col("d") / F.col("size")))
-    each = s.groupBy(key, label).agg(own.alias("o"), near.alias("b"))
+    c = centroids(unit, [label], "v").agg(F.collect_list(F.struct(F.col(label).alias("other"), F.col("n").alias("size"), F.col("centroid").alias("mean"))).alias("__all"))
+    d = F.transform("__all", lambda x: F.struct(x["other"].alias("other"), x["size"].alias("size"), (x["size"] - x["size"] * dot(F.col("v"), x["mean"])).alias("d")))
+    each = unit.crossJoin(F.broadcast(c)).select(label, d.alias("d"))
+    own = F.element_at(F.filter("d", lambda x: x["other"] == F.col(label)), 1)
+    near = F.array_min(F.transform(F.filter("d", lambda x: x["other"] != F.col(label)), lambda x: x["d"] / x["size"]))
+    each = each.select(label, own.alias("o"), near.alias("b"))
     a = F.when(F.col("o.size") > 1, F.col("o.d") / (F.col("o.size") - 1))
     value = F.when(a.isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - a) / F.greatest("b", a))
     return each.groupBy(label).agg(F.count("*").alias("n"), F.avg(value).alias("silhouette"))
 
 
+def davies_bouldin(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """(label, n, spread, worst): mean distance to the centroid, and the largest (spread + other spread) / distance of centroids.
+
+    The index is the mean of `worst`; a single cluster has 0. Clusters meet as one array, vectors only their own centroid.
+    """
+    c = centroids(vectors, [label], vector)
+    d = vectors.join(F.broadcast(c), label).select(label, "n", "centroid", euclidean(F.col(vector), F.col("centroid")).alias("d"))
+    spread = d.groupBy(label).agg(F.first("n").alias("n"), F.first("centroid").alias("centroid"), F.avg("d").alias("spread"))
+    all_ = spread.agg(F.collect_list(F.struct(F.col(label).alias("other"), F.col("centroid").alias("c"), F.col("spread").alias("s"))).alias("__all"))
+    worst = F.array_max(F.transform(F.filter("__all", lambda x: x["other"] != F.col(label)), lambda x: (F.col("spread") + x["s"]) / euclidean(F.col("centroid"), x["c"])))
+    return spread.crossJoin(F.broadcast(all_)).select(label, "n", "spread", F.coalesce(worst, F.lit(0.0)).alias("worst"))
+
+
 def confidence_histogram(scored: DataFrame, score: str = "score", bins: int = 10) -> DataFrame:
     """(bin, n): scores from 0 to 1, the last bin closed on the right."""
     b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))
@@ -178,7 +186,7 @@ def spectral(x: np.ndarray, least: int = 3, most: int = 10, neighbours: int = 10
 
 
 def agglomerative(x: np.ndarray, least: int = 2, most: int = 20) -> np.ndarray:
-    """Average linkage on cosine distance, cut where the silhouette is largest."""
+    """Average linkage on cosine distance, cut where the silhouette (where it is undefined: minus Davies-Bouldin) is largest."""
     n = len(x)
     if n <= least:
         return np.arange(n)
@@ -195,11 +203,28 @@ def agglomerative(x: np.ndarray, least: int = 2, most: int = 20) -> np.ndarray:
         work[i, i], work[j], work[:, j] = np.inf, np.inf, np.inf
         size[i] += size[j]
         label = np.where(label == j, i, label)
-        if k <= most and (s := _silhouette(dist, label)) > best:
+        if k <= most and (s := _score(x, dist, label)) > best:
             best, found = s, label
     return np.unique(found, return_inverse=True)[1]
 
 
+def _score(x: np.ndarray, dist: np.ndarray, label: np.ndarray) -> float:
+    n = len(np.unique(label))
+    return _silhouette(dist, label) if 2 <= n < len(label) else -_davies_bouldin(x, label)
+
+
+def _davies_bouldin(x: np.ndarray, label: np.ndarray) -> float:
+    ids, inv = np.unique(label, return_inverse=True)
+    if len(ids) < 2:
+        return 0.0
+    c = np.array([x[inv == i].mean(0) for i in range(len(ids))])
+    spread = np.array([np.linalg.norm(x[inv == i] - c[i], axis=1).mean() for i in range(len(ids))])
+    apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+    np.fill_diagonal(apart, np.inf)
+    both = spread[:, None] + spread[None]
+    return float(np.where(apart > 0, both / np.where(apart > 0, apart, 1), np.where(both > 0, np.inf, 0)).max(1).mean())
+
+
 def _silhouette(dist: np.ndarray, label: np.ndarray) -> float:
     ids, inv = np.unique(label, return_inverse=True)
     if len(ids) < 2:
@@ -214,10 +239,15 @@ def _silhouette(dist: np.ndarray, label: np.ndarray) -> float:
 
 
 def cluster_groups(vectors: DataFrame, by: str, key: str = "vec_id", method: str = "spectral") -> DataFrame:
-    """(by, key, cluster): labels from 0 in order of the smallest key, found within each group."""
+    """(by, key, cluster): labels from 0 in order of the smallest key, found within each group.
+
+    A group is a matrix of its rows by its rows, so one of more than MOST_ROWS is an error: split it first.
+    """
     fit = {"spectral": spectral, "agglomerative": agglomerative}[method]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_ROWS:
+            raise ValueError(f"{len(pdf)} rows in group {pdf[by].iloc[0]}: at most {MOST_ROWS} can be clustered at once")
         pdf = pdf.sort_values(key)
         label = fit(np.array(pdf["embedding"].tolist(), float))
         order = {c: i for i, c in enumerate(dict.fromkeys(label.tolist()))}
@@ -239,26 +269,74 @@ def pca_kmeans(vectors: DataFrame, k: int = 10, dims: int = 10, key: str = "vec_
     return model.transform(low).select(key, "cluster")
 
 
+def scatter(vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
+    """(key, label, x, y): the data of a scatter plot, the first two principal components."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = vectors.select(key, label, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
+    low = PCA(k=2, inputCol="v", outputCol="low").fit(v).transform(v).select(key, label, vector_to_array("low").alias("p"))
+    return low.select(key, label, F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def refine_clusters(subs: DataFrame, by: str = "meeting_id", speaker: str = "speaker", key: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Sub-segments (by, speaker, key, embedding) of labelled clusters, clustered once more within each.
+
+    Returns (by, speaker, key, sub_cluster, distance, is_outlier): a sub-cluster's members farther from its mean than mean
+    + 1.5 population deviations are outliers, the others refined segments; and (by, n_true, n_pred, n, matched,
+    accuracy): all of a meeting clustered at once, compared with the speakers by the best one-to-one matching.
+    """
+    inner = subs.select("*", F.concat_ws("\x1f", F.col(by).cast("string"), speaker).alias("__cluster"))
+    found = cluster_groups(inner, "__cluster", key).withColumnRenamed("cluster", "sub_cluster")
+    rows = inner.join(found, ["__cluster", key])
+    spread = outliers(rows, ["__cluster", "sub_cluster"], key)
+    refined = rows.join(spread, ["__cluster", "sub_cluster", key]).select(by, speaker, key, "sub_cluster", "distance", "is_outlier")
+    whole = cluster_groups(subs, by, key).select(by, key, F.concat(F.lit("c"), F.col("cluster")).alias("sys"))
+    pairs = subs.select(by, key, F.col(speaker).cast("string").alias("gt")).join(whole, [by, key])
+    return refined, matched(pairs, by)
+
+
+def matched(pairs: DataFrame, by: str = "meeting_id") -> DataFrame:
+    """(by, n_true, n_pred, n, matched, accuracy) of rows (by, gt, sys): the share that the best one-to-one matching of labels joins."""
+    from convoq.operators.diarization import assignment
+
+    counts = pairs.groupBy(by, "gt", "sys").agg(F.count("*").alias("frames"))
+    heard = counts.select(by, F.lit("gt").alias("side"), F.col("gt").alias("speaker")).union(counts.select(by, F.lit("sys"), "sys")).distinct()
+    m = counts.join(assignment(counts, heard, by), [by, "gt", "sys"]).groupBy(by).agg(F.sum("frames").alias("m"))
+    n = counts.groupBy(by).agg(F.countDistinct("gt").alias("n_true"), F.countDistinct("sys").alias("n_pred"), F.sum("frames").alias("n"))
+    hit = F.coalesce("m", F.lit(0).cast("long"))
+    return n.join(m, by, "left").select(by, "n_true", "n_pred", "n", hit.alias("matched"), F.round(hit / F.col("n"), 6).alias("accuracy"))
+
+
 def merge_stages(segments: DataFrame, partition: str = "meeting_id", slack: float = 0.05) -> DataFrame:
-    """Segments of several stages (start_ms, end_ms, priority) without overlaps: by start, higher priority first,
-    each is left out if an accepted one covers it (within slack), else trimmed against all accepted ones.
+    """Segments of several stages (start_ms, end_ms, priority) without overlaps, by start and higher priority first.
+
+    Each is left out if an accepted one covers it (within slack). Else it is trimmed: its end to the start of an accepted
+    one that begins inside it, its start to the end of one that ends inside it. All comparisons are with the segment as it
+    came, and of several that trim the same side the one accepted last counts.
 
-    The order of acceptance is the meaning of the operator, so a meeting's rows are taken one after the other.
+    The order of acceptance is the meaning of the operator, so a meeting's rows are taken one after the other; starts
+    ascend, so accepted ones that ended before a row's start are forgotten.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        done: list[tuple[float, float]] = []
+        open_: list[tuple[int, int]] = []
         out = []
         for r in pdf.sort_values(["start_ms", "priority", "seq"], ascending=[True, False, True]).itertuples():
             s, e = r.start_ms, r.end_ms
-            if any(a - slack <= s and e <= b + slack for a, b in done):
+            open_ = [(a, b) for a, b in open_ if b + slack >= s]
+            if any(s >= a - slack and e <= b + slack for a, b in open_):
                 continue
-            for a, b in done:
-                if s < b and e > a:
-                    s, e = (b, e) if s >= a else (s, a)
-            if e > s:
-                done.append((s, e))
-                out.append((r.meeting_id, r.seq, r.speaker, r.priority, int(s), int(e)))
+            begin, end = s, e
+            for a, b in open_:
+                if e > a and s < b:
+                    if s < a:
+                        end = a
+                    elif e > b:
+                        begin = b
+            if end > begin:
+                open_.append((begin, end))
+                out.append((r.meeting_id, r.seq, r.speaker, r.priority, int(begin), int(end)))
         return pd.DataFrame(out, columns=["meeting_id", "seq", "speaker", "priority", "start_ms", "end_ms"])
 
     return segments.groupBy(partition).applyInPandas(run, "meeting_id long, seq long, speaker string, priority int, start_ms long, end_ms long")

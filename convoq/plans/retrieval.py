@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from convoq import adapters as A
 from convoq.functions.text import overlap_ratio, tokenize, utterance_line
 from convoq.functions.vectors import cosine
+from convoq.operators import index as I
 from convoq.operators import vectors as V
+from convoq.plugins import extractive, lexical_reranker, lexical_similarity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,32 +52,54 @@ def knn_top30(spark, d):
     return _top30(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
-_RERANK = _KNN + """, rr AS (SELECT top.*, CAST(q.label = v.label AS INT) * 10 - abs(top.vec_id - query_id) % 7 AS rerank_score FROM top JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = query_id),
-  r5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM rr QUALIFY new_rank <= 5)"""
+_TOKENS = r"list_distinct(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g')), ' +'), lambda t: t <> ''))"
 
 
-def _reranked(spark, d):
+@query("WITH " + A.UTTERANCES + f""", t AS (SELECT meeting_id, utt_idx, {_TOKENS} AS k FROM utterances), q AS (SELECT meeting_id, k AS qk FROM t WHERE utt_idx = 0),
+  s AS (SELECT t.meeting_id, utt_idx, CASE WHEN len(qk) > 0 AND len(k) > 0 THEN len(list_intersect(qk, k)) / sqrt(len(qk) * len(k)) ELSE 0 END AS sim, CASE WHEN len(qk) > 0 THEN len(list_intersect(qk, k)) / len(qk) ELSE 0 END AS again FROM t JOIN q USING (meeting_id) WHERE utt_idx > 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY round(sim, 9) DESC, utt_idx) AS rank FROM s QUALIFY rank <= 30),
+  n AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY round(again, 9) DESC, rank) AS new_rank FROM r QUALIFY new_rank <= 5)
+  SELECT meeting_id, utt_idx, rank, new_rank, round(sim, 6) AS score, round(again, 6) AS rerank_score FROM n""")
+def rerank_top5(spark, d):
+    """A meeting's first turn as the question: the 30 turns nearest by the default embedder, of these the 5 that the default reranker puts first."""
+    u = A.utterances(spark, d).select("meeting_id", "utt_idx", "text")
+    q = u.where("utt_idx = 0").select("meeting_id", F.col("text").alias("question"))
+    j = u.where("utt_idx > 0").join(q, "meeting_id").withColumn("score", F.round(lexical_similarity(F.col("question"), F.col("text")), 9))
+    rank = F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.desc("score"), "utt_idx"))
+    top = j.withColumn("rank", rank).where("rank <= 30").withColumn("query_id", F.col("meeting_id"))
+    r = V.rerank(top, F.round(lexical_reranker(F.col("question"), F.col("text")), 9))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return r.select("meeting_id", "utt_idx", long("rank"), long("new_rank"), F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query("WITH " + _KNN + """, q AS (SELECT query_id, min(rank) FILTER (v.label = w.label AND top.vec_id <> query_id) AS first FROM top JOIN embeddings v USING (vec_id) JOIN embeddings w ON w.vec_id = query_id GROUP BY query_id)
+  SELECT count(*) AS n_queries, round(avg(CASE WHEN first <= 2 THEN 1 ELSE 0 END), 6) AS hit_at_2, round(avg(CASE WHEN first <= 5 THEN 1 ELSE 0 END), 6) AS hit_at_5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM q""")
+def hit_rate_mrr(spark, d):
+    """A hit is another vector of the query's label; the query itself is the first of its neighbours."""
     v = _vectors(spark, d).select("vec_id", "label")
     h = _top30(spark, d).join(v, "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
-    score = F.when(F.col("label") == F.col("q_label"), 10).otherwise(0) - F.abs(F.col("vec_id") - F.col("query_id")) % 7
-    return V.rerank(h, score)
+    first = F.min(F.when((F.col("label") == F.col("q_label")) & (F.col("vec_id") != F.col("query_id")), F.col("rank")))
+    q = h.groupBy("query_id").agg(first.alias("first"))
+    hit = lambda k: F.round(F.avg(F.when(F.col("first") <= k, 1).otherwise(0)), 6)
+    return q.agg(F.count("*").alias("n_queries"), hit(2).alias("hit_at_2"), hit(5).alias("hit_at_5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
-@query("WITH " + _RERANK + " SELECT query_id, vec_id, rank, new_rank, CAST(rerank_score AS BIGINT) AS rerank_score FROM r5")
-def rerank_top5(spark, d):
-    r = _reranked(spark, d)
-    return r.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.col("new_rank").cast("long").alias("new_rank"), F.col("rerank_score").cast("long").alias("rerank_score"))
+@query()
+def knn_indexed(spark, d):
+    """The same search by the index: approximate, so index_recall measures it."""
+    return _indexed(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("WITH " + _RERANK + """, q AS (SELECT query_id, min(new_rank) FILTER (v.label = w.label AND r5.vec_id <> query_id) AS first FROM r5 JOIN embeddings v USING (vec_id) JOIN embeddings w ON w.vec_id = query_id GROUP BY query_id)
-  SELECT count(*) AS n_queries, round(avg(CASE WHEN first <= 1 THEN 1 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN first <= 5 THEN 1 ELSE 0 END), 6) AS hit_at_5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM q""")
-def hit_rate_mrr(spark, d):
-    """A hit is another vector of the query's label."""
-    r = _reranked(spark, d)
-    first = F.min(F.when((F.col("label") == F.col("q_label")) & (F.col("vec_id") != F.col("query_id")), F.col("new_rank")))
-    q = r.groupBy("query_id").agg(first.alias("first"))
-    hit = lambda k: F.round(F.avg(F.when(F.col("first") <= k, 1).otherwise(0)), 6)
-    return q.agg(F.count("*").alias("n_queries"), hit(1).alias("hit_at_1"), hit(5).alias("hit_at_5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+def _indexed(spark, d):
+    v = _vectors(spark, d)
+    c = I.fit_cells(v)
+    return I.search(v.where("vec_id % 50 = 0"), I.build(v, c), c, 30)
+
+
+@query()
+def index_recall(spark, d):
+    """How much of the exact neighbours the index finds."""
+    return I.recall(_indexed(spark, d), _top30(spark, d))
 
 
 _LINE = "'[' || start_ms || '] ' || speaker || ': ' || text"
@@ -83,12 +107,12 @@ _LINE = "'[' || start_ms || '] ' || speaker || ': ' || text"
 
 @query("WITH " + A.UTTERANCES + f""", l AS (SELECT meeting_id, utt_idx, {_LINE} AS line FROM utterances),
   c AS (SELECT meeting_id, utt_idx, string_agg(line, chr(10)) OVER (PARTITION BY meeting_id ORDER BY utt_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM l)
-  SELECT * FROM c WHERE utt_idx % 3 = 0""")
+  SELECT * FROM c""")
 def context_window(spark, d):
     u = A.utterances(spark, d)
     line = utterance_line(F.col("start_ms").cast("string"), F.col("speaker"), F.col("text"))
     near = F.collect_list(F.struct("utt_idx", line.alias("t"))).over(Window.partitionBy("meeting_id").orderBy("utt_idx").rowsBetween(-1, 1))
-    return u.select("meeting_id", "utt_idx", F.array_join(F.transform(F.array_sort(near), lambda s: s["t"]), "\n").alias("context")).where("utt_idx % 3 = 0")
+    return u.select("meeting_id", "utt_idx", F.array_join(F.transform(F.array_sort(near), lambda s: s["t"]), "\n").alias("context"))
 
 
 #: Hits of a meeting in order of their token overlap with its first turn.
@@ -129,8 +153,6 @@ def kb_full_text(spark, d):
   SELECT meeting_id, round(max(score), 6) AS best, string_agg(text, chr(10) ORDER BY rank) AS answer FROM r GROUP BY meeting_id""")
 def extractive_answer(spark, d):
     """The default text generator: the two turns nearest to the first one by its tokens."""
-    from convoq.plugins import extractive
-
     u = A.utterances(spark, d).select("meeting_id", "utt_idx", "text")
     q = u.where("utt_idx = 0").select("meeting_id", F.col("text").alias("question"))
     return extractive(u.where("utt_idx > 0").join(q, "meeting_id"), "meeting_id", "utt_idx", k=2)
@@ -202,6 +224,22 @@ def silhouette(spark, d):
     return s.select("label", "n", F.round("silhouette", 5).alias("silhouette"))
 
 
+@query("WITH " + _CENT + f""", di AS (SELECT e.label, sqrt(list_sum(list_transform(list_zip(embedding, centroid), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))) AS dist FROM embeddings e JOIN cent USING (label)),
+  sp AS (SELECT label, count(*) AS n, avg(dist) AS spread FROM di GROUP BY label), pr AS (SELECT a.label, (a.spread + b.spread) / sqrt(list_sum(list_transform(list_zip(p.centroid, q.centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS r
+    FROM sp a, sp b, cent p, cent q WHERE a.label <> b.label AND p.label = a.label AND q.label = b.label)
+  SELECT label, n, round(spread, 5) AS spread, round(coalesce(max(r), 0), 5) AS worst FROM sp LEFT JOIN pr USING (label) GROUP BY label, n, spread""")
+def davies_bouldin(spark, d):
+    """The index is the mean of `worst`."""
+    r = lambda c: F.round(c, 5).alias(c)
+    return V.davies_bouldin(_vectors(spark, d)).select("label", "n", r("spread"), r("worst"))
+
+
+@query()
+def embedding_scatter(spark, d):
+    """The data of a scatter plot."""
+    return V.scatter(_vectors(spark, d))
+
+
 @query("WITH " + _NEAR + " SELECT CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM nc WHERE score BETWEEN 0 AND 1 GROUP BY 1")
 def confidence_histogram(spark, d):
     return V.confidence_histogram(_nearest(spark, d))
@@ -221,7 +259,20 @@ def assignment_summary(spark, d):
 
 
 def _groups(spark, d):
-    return _vectors(spark, d).withColumn("meeting_id", F.expr("(vec_id div 5) % 10"))
+    """Groups of bounded size, as many as the vectors fill."""
+    return _vectors(spark, d).withColumn("meeting_id", F.expr("vec_id div 250"))
+
+
+@query()
+def cluster_refinement(spark, d):
+    """Sub-clusters and outliers of each label in each group."""
+    return V.refine_clusters(_groups(spark, d).withColumnRenamed("vec_id", "seq").withColumnRenamed("label", "speaker"))[0]
+
+
+@query()
+def cluster_comparison(spark, d):
+    """All of a group clustered at once against its labels."""
+    return V.refine_clusters(_groups(spark, d).withColumnRenamed("vec_id", "seq").withColumnRenamed("label", "speaker"))[1]
 
 
 @query()
@@ -248,17 +299,19 @@ def two_phase_labels(spark, d):
     return found.select("meeting_id", "vec_id", "cluster", F.lit("clustered").alias("phase")).unionByName(best)
 
 
-@query()
+#: The largest matching by dynamic programming over sets of clusters that are taken, label after label.
+@query("WITH RECURSIVE " + _NEAR + """, p AS (SELECT vec_id // 250 AS meeting_id, label AS g, cluster AS s FROM nc), c AS (SELECT meeting_id, g, s, count(*) AS n FROM p GROUP BY ALL),
+  gs AS (SELECT meeting_id, g, row_number() OVER (PARTITION BY meeting_id ORDER BY g) AS i FROM (SELECT DISTINCT meeting_id, g FROM p)), ss AS (SELECT meeting_id, s, row_number() OVER (PARTITION BY meeting_id ORDER BY s) - 1 AS j FROM (SELECT DISTINCT meeting_id, s FROM p)),
+  e AS (SELECT c.meeting_id, i, j, n FROM c JOIN gs USING (meeting_id, g) JOIN ss USING (meeting_id, s)), k AS (SELECT meeting_id, i FROM gs),
+  f AS (SELECT DISTINCT meeting_id, 0 AS i, 0 AS taken, 0 AS best FROM p
+    UNION ALL SELECT meeting_id, i, taken, CAST(max(best) AS INT) FROM (SELECT f.meeting_id, f.i + 1 AS i, f.taken | CASE WHEN e.j IS NULL THEN 0 ELSE 1 << CAST(e.j AS INT) END AS taken, f.best + coalesce(e.n, 0) AS best
+      FROM f JOIN k ON k.meeting_id = f.meeting_id AND k.i = f.i + 1 LEFT JOIN (SELECT * FROM e UNION ALL SELECT meeting_id, i, NULL, 0 FROM k) e ON e.meeting_id = f.meeting_id AND e.i = f.i + 1 WHERE e.j IS NULL OR (f.taken >> CAST(e.j AS INT)) % 2 = 0) x GROUP BY meeting_id, i, taken),
+  mt AS (SELECT meeting_id, CAST(max(best) AS BIGINT) AS matched FROM f GROUP BY meeting_id)
+  SELECT meeting_id, count(DISTINCT g) AS n_true, count(DISTINCT s) AS n_pred, count(*) AS n, matched, round(matched / count(*), 6) AS accuracy FROM p JOIN mt USING (meeting_id) GROUP BY meeting_id, matched""")
 def matched_accuracy(spark, d):
-    """Share of vectors whose cluster is matched to their label, one to one, in each group."""
-    from convoq.operators.diarization import assignment
-
-    v = _groups(spark, d).select("meeting_id", "vec_id", F.col("label").cast("string").alias("gt"))
-    j = V.cluster_groups(_groups(spark, d), "meeting_id").select("vec_id", F.concat(F.lit("c"), F.col("cluster")).alias("sys")).join(v, "vec_id")
-    counts = j.groupBy("meeting_id", "gt", "sys").agg(F.count("*").alias("frames"))
-    heard = counts.select("meeting_id", F.lit("gt").alias("side"), F.col("gt").alias("speaker")).union(counts.select("meeting_id", F.lit("sys"), "sys")).distinct()
-    m = counts.join(assignment(counts, heard), ["meeting_id", "gt", "sys"]).groupBy("meeting_id").agg(F.sum("frames").alias("m"))
-    return j.groupBy("meeting_id").agg(F.count("*").alias("n")).join(m, "meeting_id", "left").select("meeting_id", "n", F.round(F.coalesce("m", F.lit(0)) / F.col("n"), 6).alias("accuracy"))
+    """Share of vectors whose nearest cluster is matched to their label, one to one, in each group."""
+    n = _nearest(spark, d).select(F.expr("vec_id div 250").alias("meeting_id"), F.col("label").cast("string").alias("gt"), F.col("cluster").cast("string").alias("sys"))
+    return V.matched(n)
 
 
 @query()
@@ -266,7 +319,14 @@ def pca_kmeans_labels(spark, d):
     return V.pca_kmeans(_vectors(spark, d))
 
 
-@query()
+@query("WITH RECURSIVE " + A.SEGMENTS_GT + """,
+  o AS (SELECT meeting_id, seq, speaker, CAST(seq % 3 AS INT) AS priority, start_ms AS s, end_ms AS e, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, seq % 3 DESC, seq) AS k FROM segments_gt),
+  f AS (SELECT meeting_id, 0::BIGINT AS k, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS open, 0::BIGINT AS seq, NULL::BIGINT AS start_ms, NULL::BIGINT AS end_ms FROM (SELECT DISTINCT meeting_id FROM o)
+    UNION ALL SELECT meeting_id, k, CASE WHEN te > ts AND NOT covered THEN list_append(near, {'a': ts, 'b': te}) ELSE near END, seq, CASE WHEN te > ts AND NOT covered THEN ts END, CASE WHEN te > ts AND NOT covered THEN te END
+    FROM (SELECT *, len(list_filter(near, lambda m: s >= m.a - 0.05 AND e <= m.b + 0.05)) > 0 AS covered,
+        coalesce(list_filter(near, lambda m: e > m.a AND s < m.b AND s < m.a)[-1].a, e) AS te, coalesce(list_filter(near, lambda m: e > m.a AND s < m.b AND s >= m.a AND e > m.b)[-1].b, s) AS ts
+      FROM (SELECT f.meeting_id, o.k, o.seq, o.s, o.e, list_filter(f.open, lambda m: m.b + 0.05 >= o.s) AS near FROM f JOIN o ON o.meeting_id = f.meeting_id AND o.k = f.k + 1)))
+  SELECT f.meeting_id, f.seq, speaker, priority, f.start_ms, f.end_ms FROM f JOIN o ON o.meeting_id = f.meeting_id AND o.k = f.k WHERE f.start_ms IS NOT NULL""")
 def stage_merge(spark, d):
     """Segments of three stages by priority, without overlaps."""
     s = A.segments_gt(spark, d).select("meeting_id", "seq", "speaker", (F.col("seq") % 3).cast("int").alias("priority"), "start_ms", "end_ms")
