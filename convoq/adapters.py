@@ -132,11 +132,15 @@ def sentences(df: DataFrame, keys: list[str], order: list[str], text: str = "tex
 
 
 def gt_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(meeting_id, layer, unit_idx, text): participants' sentences, topics' sentences, first sentences of turns."""
+    """(meeting_id, layer, unit_idx, text): participants' sentences, topics' texts, first sentences of turns."""
+    from convoq.operators.sequence import joined, topic_groups
+
     u = utterances(spark, sf_dir)
     each = sentences(u, ["meeting_id", "utt_idx"], ["utt_idx"])
     number = lambda df, layer: df.select("meeting_id", F.lit(layer).alias("layer"), (F.row_number().over(Window.partitionBy("meeting_id").orderBy("utt_idx", "sent_idx")) - 1).cast("long").alias("unit_idx"), F.col("sentence").alias("text"))
-    return number(each, "participant").unionByName(number(each.where("sent_idx % 2 = 0"), "topic")).unionByName(number(each.where("sent_idx = 0"), "meeting"))
+    topic = topic_groups(u, "meeting_id", "utt_idx").groupBy("meeting_id", "topic_idx").agg(joined(F.col("text"), "utt_idx").alias("text"))
+    topic = topic.select("meeting_id", F.lit("topic").alias("layer"), F.col("topic_idx").alias("unit_idx"), "text")
+    return number(each, "participant").unionByName(topic).unionByName(number(each.where("sent_idx = 0"), "meeting"))
 
 
 GT_UNITS = r"""
@@ -144,8 +148,10 @@ n0 AS (SELECT meeting_id, utt_idx, string_split_regex(text, '[.!?]+') AS parts F
 n1 AS (SELECT meeting_id, utt_idx, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM n0),
 n2 AS (SELECT meeting_id, utt_idx, pos, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS sentence FROM n1),
 n3 AS (SELECT meeting_id, utt_idx, row_number() OVER (PARTITION BY meeting_id, utt_idx ORDER BY pos) - 1 AS sent_idx, sentence FROM n2 WHERE sentence <> ''),
+n4 AS (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY meeting_id ORDER BY start_ms, utt_idx) AS gap FROM utterances),
+n5 AS (SELECT meeting_id, utt_idx, text, least(sum(CASE WHEN gap * 4 > 90000 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY start_ms, utt_idx), 3) AS topic_idx FROM n4),
 gt_units AS (SELECT meeting_id, 'participant' AS layer, row_number() OVER (PARTITION BY meeting_id ORDER BY utt_idx, sent_idx) - 1 AS unit_idx, sentence AS text FROM n3
-  UNION ALL SELECT meeting_id, 'topic', row_number() OVER (PARTITION BY meeting_id ORDER BY utt_idx, sent_idx) - 1, sentence FROM n3 WHERE sent_idx % 2 = 0
+  UNION ALL SELECT meeting_id, 'topic', CAST(topic_idx AS BIGINT), string_agg(text, ' ' ORDER BY utt_idx) FROM n5 GROUP BY meeting_id, topic_idx
   UNION ALL SELECT meeting_id, 'meeting', row_number() OVER (PARTITION BY meeting_id ORDER BY utt_idx, sent_idx) - 1, sentence FROM n3 WHERE sent_idx = 0)"""
 
 
@@ -166,7 +172,7 @@ def topic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(meeting_id, topic_id, span_idx, speaker, s_idx, e_idx): overlapping ranges of each speaker's word numbers; some are empty."""
     w = gt_words(spark, sf_dir)
     per = w.groupBy("meeting_id", "speaker").agg(F.count("*").alias("n"))
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(11), F.floor(F.col("n") / 9)).cast("long")))
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 9).cast("long")))
     s = per.select("meeting_id", "speaker", "n", k.alias("k"))
     start = F.col("k") * 8 % F.col("n")
     return s.select("meeting_id", (F.col("k") % 3).alias("topic_id"), F.col("k").alias("span_idx"), "speaker", start.alias("s_idx"), (start + F.when(F.col("k") % 7 == 6, -2).otherwise(5 + F.col("k") % 8)).alias("e_idx"))
@@ -174,7 +180,7 @@ def topic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOPIC_SPANS = """
 t0 AS (SELECT meeting_id, speaker, count(*) AS n FROM gt_words GROUP BY ALL),
-t1 AS (SELECT meeting_id, speaker, n, unnest(range(0, least(11, n // 9) + 1)) AS k FROM t0),
+t1 AS (SELECT meeting_id, speaker, n, unnest(range(0, n // 9 + 1)) AS k FROM t0),
 topic_spans AS (SELECT meeting_id, k % 3 AS topic_id, k AS span_idx, speaker, k * 8 % n AS s_idx, k * 8 % n + CASE WHEN k % 7 = 6 THEN -2 ELSE 5 + k % 8 END AS e_idx FROM t1)"""
 
 

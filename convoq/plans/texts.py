@@ -71,13 +71,14 @@ def word_normalise(spark, d):
     return A.gt_words(spark, d).select("meeting_id", "word_idx", T.normalize_text(w).alias("plain"), T.normalize(w).alias("ascii"), T.is_meaningful(w).alias("meaningful"))
 
 
-@query("""WITH o AS (SELECT conv_id, turn, left(text, 4) AS head, row_number() OVER (PARTITION BY conv_id, lower(left(text, 4)) ORDER BY turn) AS r FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM o WHERE r = 1)
-  SELECT conv_id, turn, head, place FROM f WHERE place <= 6""")
+@query("""WITH o AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, lower(text) ORDER BY turn) AS r FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM o WHERE r = 1)
+  SELECT conv_id, turn, text, place FROM f WHERE place <= 6""")
 def dedupe_first(spark, d):
-    c = A.table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(4)).alias("head"))
-    r = F.row_number().over(Window.partitionBy("conv_id", F.lower("head")).orderBy("turn"))
+    """The first six different texts of a conversation, whatever their case (six is the operator's own limit)."""
+    c = A.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    r = F.row_number().over(Window.partitionBy("conv_id", F.lower("text")).orderBy("turn"))
     f = c.withColumn("r", r).where("r = 1").withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
-    return f.where("place <= 6").select("conv_id", "turn", "head", "place")
+    return f.where("place <= 6").select("conv_id", "turn", "text", "place")
 
 
 @query("WITH " + A.SEGMENTS + """, u AS (SELECT meeting_id, speaker, start_ms, end_ms, 0 AS priority FROM segments_gt UNION ALL SELECT meeting_id, speaker, start_ms, end_ms, 1 FROM segments_sys UNION ALL SELECT meeting_id, speaker, start_ms, end_ms, 2 FROM segments_gt WHERE seq % 5 = 0)
@@ -118,18 +119,18 @@ def href_parse(spark, d):
     return p.select("page_id", F.col("ids")[0].alias("first_id"), F.col("ids")[1].alias("last_id"), "speaker", T.word_number(F.col("ids")[1]).alias("last_number"))
 
 
-@query("WITH " + A.UTTERANCES + """ SELECT meeting_id, utt_idx, CAST(start_ms * 16 AS BIGINT) AS start_sample, CAST((start_ms * 16 + 7) * 1000 // 16000 AS BIGINT) AS start_back, speaker || ': ' || left(text, 10) AS line FROM utterances""")
+@query("WITH " + A.UTTERANCES + """ SELECT meeting_id, utt_idx, CAST(start_ms * 16 AS BIGINT) AS start_sample, CAST((start_ms * 16 + 7) * 1000 // 16000 AS BIGINT) AS start_back, speaker || ': ' || text AS line FROM utterances""")
 def sample_times(spark, d):
     u = A.utterances(spark, d)
     s = T.ms_to_samples(F.col("start_ms"))
-    return u.select("meeting_id", "utt_idx", s.alias("start_sample"), T.samples_to_ms(s + 7).alias("start_back"), F.concat("speaker", F.lit(": "), F.left("text", F.lit(10))).alias("line"))
+    return u.select("meeting_id", "utt_idx", s.alias("start_sample"), T.samples_to_ms(s + 7).alias("start_back"), T.said_line(F.col("speaker"), F.col("text")).alias("line"))
 
 
-#: Words files made of the first 40 words of each speaker; points and commas become elements of their own.
+#: Words files of all words of each speaker; points and commas become elements of their own.
 def _words_files(spark, d):
     w = A.gt_words(spark, d)
     n = F.row_number().over(Window.partitionBy("meeting_id", "speaker").orderBy("word_idx"))
-    w = w.withColumn("n", n).where("n <= 40")
+    w = w.withColumn("n", n)
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     stem, end = F.regexp_replace("word", r"[.,]$", ""), F.regexp_extract("word", r"[.,]$", 0)
     at = lambda c: F.format_string("%d.%03d", F.floor(F.col(c) / 1000), F.col(c) % 1000)
@@ -138,26 +139,48 @@ def _words_files(spark, d):
     return w.groupBy("meeting_id", "speaker").agg(F.concat(F.lit("<words>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("x")))), lambda s: s["x"]), ""), F.lit("</words>")).alias("xml"))
 
 
-_FIRST40 = r""", fw AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY word_idx) AS n FROM gt_words), k40 AS (SELECT * FROM fw WHERE n <= 40 AND regexp_replace(word, '[.,]$', '') <> '')"""
+_SPOKEN = r""", fw AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY word_idx) AS n FROM gt_words), spoken AS (SELECT * FROM fw WHERE regexp_replace(word, '[.,]$', '') <> '')"""
 
 
-@query("WITH " + A.GT_WORDS + _FIRST40 + """ SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, speaker, n) - 1 AS place, speaker, round(start_ms / 1000.0, 3) AS start, round(end_ms / 1000.0, 3) AS "end", word FROM k40""")
+@query("WITH " + A.GT_WORDS + _SPOKEN + """ SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, speaker, n) - 1 AS place, speaker, round(start_ms / 1000.0, 3) AS start, round(end_ms / 1000.0, 3) AS "end", word FROM spoken""")
 def words_xml_scan(spark, d):
     w = X.meeting_words(_words_files(spark, d))
     return w.select("meeting_id", "place", "speaker", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "word")
 
 
-@query("WITH " + A.GT_WORDS + _FIRST40 + " SELECT meeting_id, string_agg(word, ' ' ORDER BY speaker, n) AS text FROM k40 GROUP BY meeting_id")
+@query("WITH " + A.GT_WORDS + _SPOKEN + " SELECT meeting_id, string_agg(word, ' ' ORDER BY speaker, n) AS text FROM spoken GROUP BY meeting_id")
 def words_xml_text(spark, d):
     return X.transcript(_words_files(spark, d))
 
 
-@query()
+_TOPIC_XML = """, tm AS (SELECT DISTINCT meeting_id FROM topic_spans), tk AS (SELECT meeting_id, unnest(range(0, 3)) AS topic_id FROM tm),
+  ts AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, topic_id ORDER BY speaker, span_idx) - 1 AS n FROM topic_spans)
+  SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, topic_id, 'topic ' || topic_id AS description, coalesce(n, 0) AS span_idx, chr(CAST(65 + CAST(speaker[9:] AS INT) AS INT)) AS speaker, 'words' || s_idx AS first_id, 'words' || e_idx AS last_id
+  FROM tk LEFT JOIN ts USING (meeting_id, topic_id)"""
+
+
+@query("WITH " + A.GT_WORDS + "," + A.TOPIC_SPANS + _TOPIC_XML)
 def topic_xml_scan(spark, d):
-    """Nested topics, parents first."""
-    c = A.table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("meeting_id"))
-    one = lambda n, inner: F.concat(F.lit(f'<topic other_description="t{n} '), "meeting_id", F.lit('"><child href="m.A.words.xml#id(words1)..id(words9)"/>'), inner, F.lit("</topic>"))
-    return X.topics(c.withColumn("xml", F.concat(F.lit("<root>"), one(0, one(1, F.lit(""))), one(2, F.lit("")), F.lit("<topic/></root>"))))
+    """Topics files of all topic spans, read again: topic 1 stands inside topic 0; parents come first."""
+    s = A.topic_spans(spark, d)
+    letter = F.char(65 + F.substring("speaker", 9, 2).cast("int"))
+    href = F.concat(F.lit('<child href="m.'), letter, F.lit(".words.xml#id(words"), "s_idx", F.lit(")..id(words"), "e_idx", F.lit(')"/>'))
+    x = s.select("meeting_id", "topic_id", F.struct("speaker", "span_idx", href.alias("x")).alias("c"))
+    spans = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("topic_id") == k, F.col("c")))), lambda c: c["x"]), "")
+    g = x.groupBy("meeting_id").agg(*[spans(k).alias(f"t{k}") for k in range(3)])
+    topic = lambda k, inner: F.concat(F.lit(f'<topic other_description="topic {k}">'), f"t{k}", inner, F.lit("</topic>"))
+    return X.topics(g.select("meeting_id", F.concat(F.lit("<root>"), topic(0, topic(1, F.lit(""))), topic(2, F.lit("")), F.lit("<topic/></root>")).alias("xml")))
+
+
+@query("WITH " + A.UTTERANCES + """ SELECT meeting_id, utt_idx, '[' || start_ms || '-' || end_ms || '] ' || text AS spanned, '[' || start_ms || '-' || end_ms || '] [' || speaker || '] ' || text AS spanned_by, '- ' || text AS bullet, '- [' || speaker || '] ' || text AS bullet_by,
+    speaker || ': ' || text AS said, '[' || start_ms || '] ' || speaker || ': ' || text AS line FROM utterances""")
+def context_formats(spark, d):
+    """The forms in which turns go to a generator."""
+    u, start, end, who, text = A.utterances(spark, d), *[F.col(c) for c in ("start_ms", "end_ms", "speaker", "text")]
+    return u.select(
+        "meeting_id", "utt_idx", T.span_line(start, end, text).alias("spanned"), T.span_line(start, end, text, who).alias("spanned_by"), T.bullet_line(text).alias("bullet"), T.bullet_line(text, who).alias("bullet_by"),
+        T.said_line(who, text).alias("said"), T.utterance_line(start.cast("string"), who, text).alias("line"),
+    )
 
 
 @query(r"""SELECT doc_id, CAST(len(list_distinct(list_filter(string_split_regex(text, '\s+'), lambda t: regexp_full_match(t, '[A-Z][a-z]+')))) AS BIGINT) AS n_titles FROM documents""")

@@ -175,10 +175,10 @@ def batch10(spark, d):
     return b.groupBy("meeting_id", "batch_idx").agg(F.count("*").alias("n"), F.min("start_ms").alias("start_ms"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("dur_ms"))
 
 
-@query("""SELECT conv_id, turn, coalesce(string_agg(role || ': ' || left(text, 20), ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(string_agg(role || ': ' || text, ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations""")
 def last3_history(spark, d):
     c = A.table(spark, d, "conversations")
-    last = F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.left("text", F.lit(20))).alias("t"))).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1))
+    last = F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1))
     return c.select("conv_id", "turn", F.array_join(F.transform(F.array_sort(last), lambda s: s["t"]), " | ").alias("history"))
 
 
