@@ -117,6 +117,38 @@ def utterance_line(start: Column, speaker: Column, text: Column) -> Column:
     return F.concat(F.lit("["), start, F.lit("] "), speaker, F.lit(": "), text)
 
 
+def span_line(start: Column, end: Column, text: Column, speaker: Column | None = None) -> Column:
+    """`[start-end] text`, with a speaker `[start-end] [speaker] text`."""
+    who = [F.lit("["), speaker, F.lit("] ")] if speaker is not None else []
+    return F.concat(F.lit("["), start.cast("string"), F.lit("-"), end.cast("string"), F.lit("] "), *who, text)
+
+
+def bullet_line(text: Column, speaker: Column | None = None) -> Column:
+    """`- text`, with a speaker `- [speaker] text`."""
+    return F.concat(F.lit("- "), *([F.lit("["), speaker, F.lit("] ")] if speaker is not None else []), text)
+
+
+def said_line(speaker: Column, text: Column) -> Column:
+    return F.concat(speaker, F.lit(": "), text)
+
+
+def python_round(x: Column, digits: int) -> Column:
+    """x rounded from its exact binary value, exact ties to the even digit, as Python's round does; Spark's own round goes by the shortest decimal form.
+
+    x * 10**digits is taken as a sum of two doubles (Dekker's product), so that a tie is told from what only looks like
+    one; for values under 2**52 / 10**digits.
+    """
+    scale = float(10**digits)
+    split = lambda v: (v * 134217729.0) - ((v * 134217729.0) - v)
+    p = x * scale
+    xh, sh = split(x), (scale * 134217729.0) - ((scale * 134217729.0) - scale)
+    xl, sl = x - xh, scale - sh
+    rest = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    low = F.floor(p).cast("double")
+    up = (p - low > 0.5) | ((p - low == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 != 0))))
+    return (low + F.when(up, 1.0).otherwise(0.0)) / scale
+
+
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Share of the distinct tokens of a that b has; 0 if a has none."""
     a, b = F.array_distinct(a), F.array_distinct(b)

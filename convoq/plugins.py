@@ -26,6 +26,12 @@ class TextGenerator(Protocol):
     def __call__(self, rows: DataFrame, by: str, order: str, k: int) -> DataFrame: ...
 
 
+class Rewriter(Protocol):
+    """A question and the talk before it to a question that stands alone."""
+
+    def __call__(self, question: Column, history: Column) -> Column: ...
+
+
 class SegmentDetector(Protocol):
     """Audio files (path, content) to segments (meeting_id, seq, start_ms, end_ms)."""
 
@@ -60,3 +66,47 @@ def extractive(rows: DataFrame, by: str, order: str, k: int = 2, scorer: Similar
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), order))).where(F.col("rank") <= k)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n")
     return r.groupBy(by).agg(F.round(F.max("score"), 6).alias("best"), text.alias("answer"))
+
+
+def summaries(rows: DataFrame, by: list[str], order: str, k: int = 2) -> DataFrame:
+    """Default summary of each group of texts: the k whose tokens are most common in the group, in order.
+
+    by: meeting and speaker for speakers' summaries, meeting and topic for topics', the meeting alone for its own. A
+    text's worth is the mean number of the group's texts that hold its distinct tokens, ties to the first; groups
+    without a token have an empty summary.
+    """
+    t = rows.select(*by, order, "text", F.explode_outer(F.array_distinct(tokenize(F.col("text")))).alias("token"))
+    held = t.withColumn("held", F.when(F.col("token").isNotNull(), F.count("*").over(Window.partitionBy(*by, "token"))))
+    worth = held.groupBy(*by, order, "text").agg(F.round(F.coalesce(F.avg("held"), F.lit(0.0)), 6).alias("worth"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("worth"), order))
+    kept = worth.withColumn("r", first).where((F.col("r") <= k))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("worth") > 0, F.struct(order, "text")))), lambda x: x["text"]), " ")
+    return kept.groupBy(*by).agg(F.count_if(F.col("worth") > 0).alias("n"), text.alias("summary"))
+
+
+def repair_boundaries(df: DataFrame, partition: str, order: str, most_words: int = 3) -> DataFrame:
+    """Default repair of speaker changes in mid-sentence: up to most_words words after the last end of a sentence go to
+    the next segment of another speaker, if that starts in lower case (a sentence that goes on).
+    """
+    w = Window.partitionBy(partition).orderBy(order)
+    tail = F.regexp_extract("text", r"[.!?]\s+([^.!?]+)$", 1)
+    moves = (F.lead("speaker").over(w) != F.col("speaker")) & F.lead("text").over(w).rlike(r"^[a-z]") & (tail != "") & (F.size(F.split(tail, r"\s+")) <= most_words)
+    t = df.withColumn("__tail", F.when(moves, tail).otherwise("")).withColumn("__from", F.coalesce(F.lag("__tail").over(w), F.lit("")))
+    own = F.when(F.col("__tail") != "", F.rtrim(F.expr("left(text, length(text) - length(__tail))"))).otherwise(F.col("text"))
+    return t.withColumn("text", F.when(F.col("__from") != "", F.concat_ws(" ", "__from", own)).otherwise(own)).drop("__tail", "__from")
+
+
+#: Words that point at what was said before (fixed values of the default rewriter).
+POINTING = ("it", "its", "that", "this", "they", "them", "their", "those", "these", "he", "she", "him", "her", "his", "there")
+
+
+def standalone_question(question: Column, history: Column) -> Column:
+    """Default rewriter: a question with a pointing word gets the last line of the history in front of it."""
+    points = F.arrays_overlap(tokenize(question), F.array(*[F.lit(p) for p in POINTING]))
+    last = F.element_at(F.split(history, "\n"), -1)
+    return F.when(points & (F.coalesce(last, F.lit("")) != ""), F.concat(last, F.lit(" "), question)).otherwise(question)
+
+
+def sufficient(question: Column, context: Column, least: float = 0.5) -> Column:
+    """Default judge: whether the context has at least that share of the question's tokens."""
+    return overlap_ratio(tokenize(question), tokenize(context)) >= least

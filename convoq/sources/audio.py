@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from convoq.functions.text import meeting_of
 
 RATE = 16_000
+#: A file's bytes to mono samples from -1 to 1 at RATE; one for other formats than WAV (MP4, MP3) is given by the user.
+Decoder = Callable[[bytes], np.ndarray]
 
 
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
@@ -64,30 +66,33 @@ def detect(x: np.ndarray, rate: int = RATE, frame_ms: int = 10, factor: float =
     return [(a, min(a + most, e)) for s, e in out if e - s >= least_speech for a in range(s, e, most)]
 
 
-def speech_segments(files: DataFrame) -> DataFrame:
+def speech_segments(files: DataFrame, decoder: Decoder = decode) -> DataFrame:
     """(meeting_id, seq, start_ms, end_ms) of each file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(m, i, s, e) for m, c in zip(pdf["meeting_id"], pdf["content"], strict=True) for i, (s, e) in enumerate(detect(decode(c)))]
+            rows = [(m, i, s, e) for m, c in zip(pdf["meeting_id"], pdf["content"], strict=True) for i, (s, e) in enumerate(detect(decoder(c)))]
             yield pd.DataFrame(rows, columns=["meeting_id", "seq", "start_ms", "end_ms"])
 
     return files.select("meeting_id", "content").mapInPandas(run, "meeting_id string, seq long, start_ms long, end_ms long")
 
 
-def embed(x: np.ndarray, crops: int = 3, length: int = RATE, bands: int = 32) -> np.ndarray:
-    """Mean of the crops' band energies, of length 1: a crop in the middle and others spread evenly; short ones padded."""
+def embed(x: np.ndarray, crops: int = 3, length: int = RATE, bands: int = 32, seed: int = 0) -> np.ndarray:
+    """Mean of the crops' band energies, of length 1: a crop in the middle and others drawn at random (the same for the
+    same seed and length); short segments get silence on both sides.
+    """
     if len(x) < length:
-        x = np.pad(x, (0, length - len(x)))
+        left = (length - len(x)) // 2
+        x = np.pad(x, (left, length - len(x) - left))
     last = len(x) - length
-    starts = [last // 2, *[last * i // max(1, crops - 1) for i in range(crops - 1)]]
+    starts = [last // 2, *np.random.default_rng((seed, len(x))).integers(0, last + 1, crops - 1).tolist()]
     power = np.abs(np.fft.rfft(np.stack([x[s : s + length] for s in starts]) * np.hanning(length), axis=1)) ** 2
     edges = np.unique(np.geomspace(1, power.shape[1], bands + 1).astype(int))
     v = np.log1p(np.add.reduceat(power, edges[:-1], axis=1)).mean(0)
     return (v / (np.linalg.norm(v) + 1e-9)).astype(np.float32)
 
 
-def segment_embeddings(files: DataFrame, segments: DataFrame) -> DataFrame:
+def segment_embeddings(files: DataFrame, segments: DataFrame, decoder: Decoder = decode) -> DataFrame:
     """(meeting_id, seq, embedding) for each segment; a file's segments come with it, so it is decoded once."""
     per = segments.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start_ms", "end_ms"))).alias("segments"))
 
@@ -95,7 +100,7 @@ def segment_embeddings(files: DataFrame, segments: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for m, c, segs in zip(pdf["meeting_id"], pdf["content"], pdf["segments"], strict=True):
-                x = decode(c)
+                x = decoder(c)
                 rows += [(m, s["seq"], embed(x[s["start_ms"] * RATE // 1000 : s["end_ms"] * RATE // 1000])) for s in segs]
             yield pd.DataFrame(rows, columns=["meeting_id", "seq", "embedding"])
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoq.functions.text import collection_name
+from convoq.functions.text import base_name, collection_name
 
 TRANSCRIPT = "array<struct<start string, end string, speaker string, text string>>"
 SPEAKER_SUMMARY = "array<struct<id string, info array<struct<text string, start double, end double>>, summary string>>"
@@ -79,6 +79,42 @@ def write_json(df: DataFrame, path: str, by: str = "meeting_id", mode: str = "ov
     df.repartition(by).write.mode(mode).partitionBy(by).json(path)
 
 
+#: Names of the files that hold summaries and transcripts of a meeting.
+NAMES = {"speaker": "speaker_summarization_{}.json", "topic": "topic_summarization_{}.json", "meeting": "meeting_summarization_{}.json", "transcript": "final_transcriptions_{}.json"}
+PREFIX = "final_transcriptions_"
+
+
+def write_named(df: DataFrame, path: str, kind: str, file: str = "file", order: str | None = None) -> None:
+    """One JSON array a source file, called after it: `topic_summarization_m1.json` for rows of `final_transcriptions_m1.json`.
+
+    kind: speaker, topic, meeting, transcript, or any name with a {} in it. Rows are gathered by file and written by the
+    executors; the driver only renames what they wrote.
+    """
+    spark, name = df.sparkSession, NAMES.get(kind, kind)
+    cols = [c for c in df.columns if c not in (file, order)]
+    row = F.struct(*[F.col(order) if order else F.lit(0).alias("o")], F.struct(*cols).alias("x"))
+    base = F.regexp_replace(base_name(F.col(file)), f"^{PREFIX}", "")
+    items = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["x"])
+    text = df.withColumn("name", F.format_string(name.replace("{}", "%s"), base)).groupBy("name").agg(F.to_json(items).alias("value"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *parts]))
+    fs = where().getFileSystem(conf)
+    text.repartition("name").write.mode("overwrite").partitionBy("name").text(where("_parts").toString())
+    for folder in fs.listStatus(where("_parts")):
+        if folder.isDirectory():
+            for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder.getPath(), "part-*")):
+                to = where(folder.getPath().getName().split("=", 1)[1])
+                fs.delete(to, False)
+                fs.rename(part.getPath(), to)
+    fs.delete(where("_parts"), True)
+
+
+def listing(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """(name, path, length, modified) of the files of a folder with that ending, contents unread."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+    return f.select(F.regexp_replace("path", r"^.*/", "").alias("name"), "path", "length", F.col("modificationTime").alias("modified"))
+
+
 def dataset_metadata(df: DataFrame, drop: str = "audio", n: int = 5) -> DataFrame:
     """The first rows of a dataset without its heavy column."""
     return df.drop(drop).limit(n)

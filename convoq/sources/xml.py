@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convoq.functions.text import href_ids, href_speaker, meeting_of
@@ -18,9 +18,14 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return f.select(name.alias("file"), meeting_of(F.col("path")).alias("meeting_id"), F.split_part(name, F.lit("."), F.lit(2)).alias("speaker"), "xml")
 
 
+def _plain_ids(xml: Column) -> Column:
+    """The first attribute of a word whose name ends in id (`nite:id`) is called id."""
+    return F.regexp_replace(xml, r"(<w\b[^>]*?\s)[\w:.-]*id(\s*=)", "$1id$2")
+
+
 def word_index(df: DataFrame) -> DataFrame:
     """(meeting_id, speaker, pos, word_id, punc, start, end, word): all words and punctuation of words files in order."""
-    x = df.select("meeting_id", "speaker", F.from_xml("xml", _WORDS).alias("x"))
+    x = df.select("meeting_id", "speaker", F.from_xml(_plain_ids(F.col("xml")), _WORDS).alias("x"))
     w = x.select("meeting_id", "speaker", F.posexplode("x.w").alias("pos", "w"))
     w = w.select("meeting_id", "speaker", F.col("pos").cast("long").alias("pos"), F.col("w._id").alias("word_id"), (F.lower(F.coalesce("w._punc", F.lit("false"))) == "true").alias("punc"), F.col("w._starttime").alias("start"), F.col("w._endtime").alias("end"), F.trim("w._VALUE").alias("word"))
     return w.where(F.col("word") != "")
