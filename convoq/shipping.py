@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,12 +19,14 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="convoq-"), "convoq.zip")
+    folder = tempfile.mkdtemp(prefix="convoq-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it as long as the application runs
+    path = os.path.join(folder, "convoq.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
+        for where, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".py"):
-                    full = os.path.join(folder, n)
+                    full = os.path.join(where, n)
                     z.write(full, os.path.join("convoq", os.path.relpath(full, root)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
