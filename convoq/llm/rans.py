@@ -34,6 +34,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ LANES = 2048
 #: ranges), and pieces in a worker's table.
 BLOCK_IDS = 1 << 20
 PART_IDS = 1 << 18
-CACHE = 800_000
+CACHE = 500_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces: a word; points after it; a line feed; whatever else stands between white space; white space with what follows.
 _PIECE = re.compile(rf" ?[{_LATIN}]++(?![^\W\d_])|(?<=[{_LATIN}])[.,!?;:]++(?=[ \n]|\Z)|(?<=\S)\n(?=\S)| ?\S+|\s+\S*")
@@ -63,6 +64,7 @@ _ODD = re.compile(r"[\x1c-\x1f]")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _SPACE = chr(_BYTE_CHARS[32])
+_ID = attrgetter("id")
 _U = np.uint64
 
 
@@ -79,7 +81,7 @@ class _Known(dict):
     """
 
     def __init__(self, tokenizer, kind: str):
-        self.tokenizer, self.kind, self.last = tokenizer, {"<u2": "H", "<u4": "I"}[kind], {}
+        self.tokenizer, self.model, self.kind, self.last = tokenizer, tokenizer.model, {"<u2": "H", "<u4": "I"}[kind], {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE // 2:
@@ -89,9 +91,11 @@ class _Known(dict):
         return got
 
     def ask(self, piece: str) -> bytes:
-        if _WORD.fullmatch(piece):  # one token string a byte: the model itself is asked, without the steps before it
-            shown = piece.replace(" ", _SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        plain = piece.isascii()
+        if (piece if piece[0] != " " else piece[1:]).isalpha() if plain else _WORD.fullmatch(piece):
+            # One token string a byte: the model itself is asked, without the steps before it.
+            shown = piece.replace(" ", _SPACE) if plain else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = map(_ID, self.model.tokenize(shown))
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         return array(self.kind, ids).tobytes()
