@@ -43,7 +43,7 @@ from convoq.shipping import ship
 WINDOW = 200
 GRAM = 80
 #: Windows in a segment at most, bytes that are hashed at once, distinct segments in a piece, bytes in a suffix array.
-SEGMENT, CHUNK, PIECE, ARRAY = 128, 1 << 18, 1024, 1 << 18
+SEGMENT, CHUNK, PIECE, ARRAY = 128, 1 << 18, 256, 1 << 18
 _U = np.uint64
 _M = 0x9E3779B97F4A7C15
 _MI = pow(_M, -1, 1 << 64)
