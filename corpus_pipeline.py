@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from convoq.llm import decontaminate, mixing, quality_rules, rans, simhash
-from convoq.llm.common import table, written
+from convoq.llm.common import dropped, table, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        kept = written(stage(spark, docs, sf_dir), name)
+        if before:
+            dropped(before)
+        docs = before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
