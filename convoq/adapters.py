@@ -63,8 +63,13 @@ gt_words AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_of(table(spark, sf_dir, "events"))
+
+
+def events_of(events: DataFrame) -> DataFrame:
+    """(event_id, event_type, us, dur, meeting_id, start_ms, kind) of a table or a stream of events."""
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", us.alias("us"), F.round(F.col("value") * 1000).cast("long").alias("dur"))
+    e = events.select("event_id", "event_type", us.alias("us"), F.round(F.col("value") * 1000).cast("long").alias("dur"))
     kind = sum(F.when(F.col("event_type") == t, i).otherwise(0) for i, t in enumerate(TYPES))
     return e.select("event_id", "event_type", "us", "dur", F.expr(f"us div {BUCKET_US}").alias("meeting_id"), F.expr(f"(us % {BUCKET_US}) div 1000").alias("start_ms"), kind.alias("kind"))
 

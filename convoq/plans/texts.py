@@ -127,7 +127,7 @@ def sample_times(spark, d):
 
 
 #: Words files of all words of each speaker; points and commas become elements of their own.
-def _words_files(spark, d):
+def words_files(spark, d):
     w = A.gt_words(spark, d)
     n = F.row_number().over(Window.partitionBy("meeting_id", "speaker").orderBy("word_idx"))
     w = w.withColumn("n", n)
@@ -139,18 +139,18 @@ def _words_files(spark, d):
     return w.groupBy("meeting_id", "speaker").agg(F.concat(F.lit("<words>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("x")))), lambda s: s["x"]), ""), F.lit("</words>")).alias("xml"))
 
 
-_SPOKEN = r""", fw AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY word_idx) AS n FROM gt_words), spoken AS (SELECT * FROM fw WHERE regexp_replace(word, '[.,]$', '') <> '')"""
+SPOKEN = r""", fw AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY word_idx) AS n FROM gt_words), spoken AS (SELECT * FROM fw WHERE regexp_replace(word, '[.,]$', '') <> '')"""
 
 
-@query("WITH " + A.GT_WORDS + _SPOKEN + """ SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, speaker, n) - 1 AS place, speaker, round(start_ms / 1000.0, 3) AS start, round(end_ms / 1000.0, 3) AS "end", word FROM spoken""")
+@query("WITH " + A.GT_WORDS + SPOKEN + """ SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, speaker, n) - 1 AS place, speaker, round(start_ms / 1000.0, 3) AS start, round(end_ms / 1000.0, 3) AS "end", word FROM spoken""")
 def words_xml_scan(spark, d):
-    w = X.meeting_words(_words_files(spark, d))
+    w = X.meeting_words(words_files(spark, d))
     return w.select("meeting_id", "place", "speaker", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "word")
 
 
-@query("WITH " + A.GT_WORDS + _SPOKEN + " SELECT meeting_id, string_agg(word, ' ' ORDER BY speaker, n) AS text FROM spoken GROUP BY meeting_id")
+@query("WITH " + A.GT_WORDS + SPOKEN + " SELECT meeting_id, string_agg(word, ' ' ORDER BY speaker, n) AS text FROM spoken GROUP BY meeting_id")
 def words_xml_text(spark, d):
-    return X.transcript(_words_files(spark, d))
+    return X.transcript(words_files(spark, d))
 
 
 _TOPIC_XML = """, tm AS (SELECT DISTINCT meeting_id FROM topic_spans), tk AS (SELECT meeting_id, unnest(range(0, 3)) AS topic_id FROM tm),
