@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from test_operators import DOC, ODD, SF, brute_hits, brute_secrets, docs, frame, words  # noqa: F401
 
 import corpus_pipeline
+from convoq import scratch
 from convoq.llm import classifier, common, decontaminate, mixing, quality_rules, rans, secret_scan, simhash, suffix_dedup, url_filters, wrappers
 from convoq.llm.queries import ORACLE_SQL
 
@@ -391,7 +392,7 @@ def test_pipeline_counts_and_checksums_are_the_tokenizers(spark):
 
 
 def test_shared_folder_is_the_sessions_or_the_contexts(spark):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     t = common.written(spark.range(3).toDF("x"))
     assert t.count() == 3 and DOC
     common.dropped(t)
