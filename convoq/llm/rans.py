@@ -2,8 +2,8 @@
 
 Every whole text is encoded with a tokenizer file, an end id follows each document, and the ids are
 written in ascending doc_id order. One frequency table, counted over all ids of the corpus, serves all
-blocks. A block holds whole documents' ids in LANES interleaved rANS states, so that each numpy step
-encodes or decodes LANES ids; a block depends on nothing but the table, so blocks decode in parallel.
+blocks. A block holds whole documents' ids in up to LANES interleaved rANS states, so that each numpy step
+encodes or decodes as many ids; a block depends on nothing but the table, so blocks decode in parallel.
 
     table row:  part -1, the frequencies (they sum to a power of two, 2**PRECISION or more if there are so many ids)
     block row:  part and seq (ascending with doc_id), first doc_id and last one, checkpoints (each
@@ -49,7 +49,8 @@ from convoq.shipping import ship
 END_ID = 0
 PRECISION = 18
 LOWEST = np.uint64(1 << 31)
-LANES = 8192
+#: States of a block at most, and ids for which it has one.
+LANES, LANE_IDS = 8192, 64
 #: Ids after which a block ends (with its document), ids for which there is one range (n**2 times as many ids have n
 #: ranges), and pieces in a worker's table.
 BLOCK_IDS = 1 << 20
@@ -161,7 +162,7 @@ class Table:
 def encode_block(ids: np.ndarray, table: Table) -> tuple[bytes, bytes]:
     """(states, words): id i is in lane i % LANES; lanes are encoded from the last id to the first."""
     n = len(ids)
-    lanes = min(LANES, max(1, n))
+    lanes = min(LANES, max(1, n // LANE_IDS))
     steps = -(-n // lanes)
     f_all, s_all = table.freq[ids], table.start[ids]
     x = np.full(lanes, LOWEST, _U)
