@@ -32,6 +32,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,10 +157,15 @@ _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("containment", T.DoubleType())]))
 
 
-def _looked_up(docs: DataFrame, block: DataFrame, threshold: float, name: str) -> DataFrame:
-    """docs with the hits of one block in column `name`."""
+def _shared(block: DataFrame) -> Broadcast:
+    """A block's items on all executors."""
     items = [(r[0], r[1].encode() if r[1] is not None else None) for r in block.orderBy("item_id", "text").collect()]
-    shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    return block.sparkSession.sparkContext.broadcast(items)
+
+
+def _looked_up(docs: DataFrame, shared: Broadcast, threshold: float, name: str) -> DataFrame:
+    """docs with the hits of one block in column `name`."""
+    key = uuid.uuid4().hex
 
     def lookup():
         known = _items(key, shared, threshold)
@@ -177,12 +183,13 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS))
     if blocks == 1:
-        return _looked_up(docs, items, threshold, name)
+        return _looked_up(docs, _shared(items), threshold, name)
     texts, found = docs.select(F.col("text").cast("string").alias("text")), None
     for i in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        hits = _looked_up(texts, block, threshold, "part").where(F.size("part") > 0).select(_text_key(F.col("text")).alias("its_text"), "part")
+        shared = _shared(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i))
+        hits = _looked_up(texts, shared, threshold, "part").where(F.size("part") > 0).select(_text_key(F.col("text")).alias("its_text"), "part")
         hits = written(hits.groupBy("its_text").agg(F.first("part").alias("part")), "hits")
+        shared.destroy()
         found = hits if found is None else found.union(hits)
     key, none = fresh([*docs.columns, name], "its_text"), F.array().cast(HITS)
     found = bounded(written(found.groupBy("its_text").agg(F.flatten(F.collect_list("part")).alias(name)), "hits").withColumnRenamed("its_text", key))
