@@ -33,6 +33,7 @@ import math
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from operator import attrgetter
 
@@ -57,15 +58,15 @@ BLOCK_IDS = 1 << 20
 PART_IDS = 1 << 18
 CACHE = 600_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LETTERS = "".join(c for c in map(chr, range(256)) if re.fullmatch(f"[{_LATIN}]", c))
 #: Pieces: a word; points after it; a line feed; whatever else stands between white space; white space with what follows.
 _PIECE = re.compile(rf" ?[{_LATIN}]++(?![^\W\d_])|(?<=[{_LATIN}])[.,!?;:]++(?=[ \n]|\Z)|(?<=\S)\n(?=\S)| ?\S+|\s+\S*")
-_WORD = re.compile(rf" ?[{_LATIN}]+")
 #: Characters that Python counts as white space and the vocabulary's pattern doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
 #: The vocabulary writes bytes as characters: printable ones as they are, the others, in order, from 256 on.
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_SPACE = chr(_BYTE_CHARS[32])
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_SHOWN = "".join(_OTHERS.get(b, chr(b)) for b in range(256))
 _ID = attrgetter("id")
 _U = np.uint64
 
@@ -93,11 +94,9 @@ class _Known(dict):
         return got
 
     def ask(self, piece: str) -> bytes:
-        plain = piece.isascii()
-        if (piece if piece[0] != " " else piece[1:]).isalpha() if plain else _WORD.fullmatch(piece):
-            # One token string a byte: the model itself is asked, without the steps before it.
-            shown = piece.replace(" ", _SPACE) if plain else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = map(_ID, self.model.tokenize(shown))
+        if not (piece[1:] if piece[0] == " " else piece).strip(_LETTERS):
+            # A word: the model itself is asked for it, one character a byte, without the steps before it.
+            ids = map(_ID, self.model.tokenize(charmap_decode(piece.encode(), "strict", _SHOWN)[0]))
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         return array(self.kind, ids).tobytes()
