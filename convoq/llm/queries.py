@@ -84,9 +84,44 @@ l0 AS (SELECT host AS src, list_distinct(list_transform(regexp_extract_all(html,
 l1 AS (SELECT src, unnest(found) AS dst FROM l0),
 links AS (SELECT src, dst, count(*) AS n FROM l1 WHERE src <> dst AND src <> '' GROUP BY ALL)"""
 
-#: Rules with link flow, containment and mixing can be said in SQL. The others are learned, hashed or decoded; tests/llm
-#: holds them against brute force instead.
+#: Matches of the secrets' patterns; a pattern's n-th match starts after the n pieces before it and the n - 1 matches.
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRETS = (_ASSIGN, "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}", "[A-Za-z0-9+/_-]{24,}")
+_MATCHES = " UNION ALL ".join(f"SELECT r, {k} AS kind_no, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d" for k, p in enumerate(_SECRETS))
+_SHARE_OF = "((length(value) - length(replace(value, ch, ''))) / length(value))"
+
+#: Repeated windows, rules with link flow, containment, mixing and secrets can be said in SQL. The others are learned, hashed
+#: or decoded; tests/llm holds them against brute force instead.
 ORACLE_SQL: dict[str, str] = {
+    # Every window of every document by its MD5.
+    "op1_suffix_array_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, unnest(range(1, octet_length(b) - 198)) AS i, b FROM d),
+k AS (SELECT r, i, md5_number(b[i:i + 199]) AS k FROM w),
+a AS (SELECT r, i FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM a),
+s AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+spans AS (SELECT r, k, min(i) AS s, max(i) + 199 AS e FROM s GROUP BY r, k),
+cut AS (SELECT r, k, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY k), 0) AS before FROM spans),
+p AS (SELECT r, before + 1 AS x, s - 1 AS y, e - s + 1 AS gone FROM cut UNION ALL SELECT d.r, coalesce(max(e), 0) + 1, any_value(octet_length(b)), 0 FROM d LEFT JOIN spans ON spans.r = d.r GROUP BY d.r)
+SELECT doc_id, any_value(octet_length(b)) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(coalesce(string_agg(CASE WHEN y >= x THEN hex(b[x:y]) ELSE '' END, '' ORDER BY x), ''))) AS kept_sha256
+FROM p JOIN d USING (r) GROUP BY r, doc_id""",
+    "op7_secret_scans": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+x AS ({_MATCHES}),
+y AS (SELECT r, kind_no, ms, gs, unnest(ms) AS v, generate_subscripts(ms, 1) AS n FROM x WHERE len(ms) > 0),
+z AS (SELECT r, kind_no, v, CASE WHEN kind_no = 0 THEN regexp_extract(v, '{_ASSIGN}', 2) ELSE v END AS value,
+  CAST(list_sum(list_transform(gs[1:n], lambda s: length(s))) + coalesce(list_sum(list_transform(ms[1:n - 1], lambda s: length(s))), 0) AS BIGINT) AS s FROM y),
+base AS (SELECT r, kind_no, s, s + length(v) AS e, value FROM z WHERE kind_no < 3 AND (kind_no > 0 OR length(value) >= 12)),
+c0 AS (SELECT r, kind_no, s, s + length(v) AS e, value, regexp_matches(value, '[a-z]') AS lo, regexp_matches(value, '[A-Z]') AS up, regexp_matches(value, '[0-9]') AS di, regexp_matches(value[2:], '[A-Z]') AS inner_up,
+  list_sum(list_transform(list_distinct(string_split(value, '')), lambda ch: -{_SHARE_OF} * log2({_SHARE_OF}))) AS bits FROM z WHERE kind_no = 3),
+cand AS (SELECT r, kind_no, s, e, value FROM c0 WHERE ((lo AND up AND di) OR (CASE WHEN lo <> up THEN di ELSE inner_up AND lo END AND regexp_matches(value, '[A-Za-z0-9]{{24,}}')))
+  AND bits >= CASE WHEN regexp_full_match(value, '[0-9A-F]+|[0-9a-f]+') THEN 3.0 ELSE 3.5 END AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = c0.r AND base.s < c0.e AND base.e > c0.s)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM cand),
+own AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) <= 3 AND count(DISTINCT t) <= 3 AS live FROM every JOIN d USING (r) GROUP BY value),
+shown AS (SELECT r, kind_no, s, live, ['assign', 'access', 'hex', 'live'][kind_no + 1] || ':' || s || ':' || e AS span FROM every JOIN own USING (value) WHERE kind_no < 3 OR live)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex, sha256(coalesce(string_agg(span, ',' ORDER BY s, kind_no) FILTER (kind_no < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY s, kind_no), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM d LEFT JOIN shown USING (r) GROUP BY r""",
     "op2_url_filters": "WITH RECURSIVE"
     + _RULED
     + ","

@@ -334,6 +334,10 @@ def test_live_spans_equal_brute_force(spark, docs):  # noqa: F811
         shown = sorted((k for k in spans[i] if k[0] != "live" or k in live), key=lambda k: (k[1], order.index(k[0])))
         expect[i, ",".join(f"{k}:{a}:{b}" for k, a, b in shown), sum(k in live for k in shown), sum(k not in live for k in shown)] += 1
     assert got == expect and any(k[2] for k in got) and any(k[3] for k in got)
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert Counter(c.sql(ORACLE_SQL["op7_secret_scans"]).select("doc_id, spans, n_live, n_copied").fetchall()) == expect
 
 
 def looks_drawn(v):

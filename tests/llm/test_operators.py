@@ -82,6 +82,10 @@ def test_dedup_equals_brute_force(spark, docs, piece):
     expect = brute_dedup([(t or "").encode() for _, t, _ in rows], 200)
     got = suffix_dedup.dedup(frame(spark, rows), piece=piece).collect()
     assert Counter((r[0], *e) for r, e in zip(rows, expect, strict=True)) == Counter(tuple(r) for r in got)
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert Counter(c.sql(ORACLE_SQL["op1_suffix_array_dedup"]).fetchall()) == Counter(tuple(r) for r in got)
 
 
 def test_dedup_keeps_text(spark):
