@@ -81,8 +81,13 @@ def _closest(bag: Column, others: Column) -> Column:
     return F.array_max(order)
 
 
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt by its keys to as many tasks as a shuffle has: comparing texts is much work for few bytes, so small partitions stay apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _gathered(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    return chunks.groupBy(*keys).agg(F.collect_list(F.struct(F.col("chunk_idx").alias("idx"), _bag(F.col("chunk")).alias("bag"))).alias("__others"))
+    return _spread(chunks, keys).groupBy(*keys).agg(F.collect_list(F.struct(F.col("chunk_idx").alias("idx"), _bag(F.col("chunk")).alias("bag"))).alias("__others"))
 
 
 def best_chunks(gt: DataFrame, pred: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
@@ -92,7 +97,7 @@ def best_chunks(gt: DataFrame, pred: DataFrame, keys: list[str], k: int = 3) ->
     A group's predicted chunks come to each reference chunk as one array, so pairs are compared in the row and only the
     k best become rows; a group is one layer of one meeting's summary.
     """
-    g = gt.select(*keys, F.col("chunk_idx").alias("gt_idx"), _bag(F.col("chunk")).alias("__bag")).join(_gathered(pred, keys), keys)
+    g = _spread(gt, keys).select(*keys, F.col("chunk_idx").alias("gt_idx"), _bag(F.col("chunk")).alias("__bag")).join(_gathered(pred, keys), keys)
     top = g.select(*keys, "gt_idx", F.posexplode(_best(F.col("__bag"), F.col("__others"), k)).alias("rank", "b"))
     return top.select(*keys, "gt_idx", (F.col("rank") + 1).alias("rank"), F.col("b.idx").alias("pred_idx"), "b.overlap", "b.similarity")
 
@@ -127,14 +132,14 @@ def claim_support(claims: DataFrame, chunks: DataFrame, keys: list[str]) -> Data
     A group's chunks come to each claim as one array. A claim that shares no token with any chunk has similarity and
     overlap 0.
     """
-    c = claims.select(*keys, F.col("chunk_idx").alias("claim_idx"), _bag(F.col("chunk")).alias("__bag")).join(_gathered(chunks, keys), keys, "left")
+    c = _spread(claims, keys).select(*keys, F.col("chunk_idx").alias("claim_idx"), _bag(F.col("chunk")).alias("__bag")).join(_gathered(chunks, keys), keys, "left")
     c = c.select(*keys, "claim_idx", _closest(F.col("__bag"), F.col("__others")).alias("b"))
     s, o = F.coalesce("b.s", F.lit(0.0)), F.coalesce("b.o", F.lit(0.0))
     return c.select(*keys, "claim_idx", (-F.col("b.i")).alias("best_idx"), s.alias("similarity"), o.alias("overlap"), ((s < SIMILAR) & (o < OVERLAPS)).alias("unsupported"))
 
 
 def layer_scores(reference: DataFrame, predicted: DataFrame, keys: list[str], idx: str = "unit_idx", least_chars: int = 6, least_tokens: int = 4) -> DataFrame:
-    """(keys, ics, n_claims, n_unsupported, n_in, n_out): coverage, support and compression of each layer at once.
+    """(keys, n_chunks, ics, n_claims, n_unsupported, n_in, n_out): coverage, support and compression of each layer at once.
 
     Texts (keys, idx, text) of both sides are cut and tokenised once and gathered by one shuffle; the scores are those of
     layer_ics, claim_support and compression. Only layers with reference texts have a row.
@@ -144,7 +149,7 @@ def layer_scores(reference: DataFrame, predicted: DataFrame, keys: list[str], id
     made = F.transform(parts, lambda c: F.struct(token_count(c).alias("n"), _bag(c).alias("bag")))
     side = lambda k, x: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct(F.col(idx).alias("o"), made.alias("x"))))), lambda u: u["x"])).alias(x)
     tokens = lambda k: F.sum(F.when(F.col("side") == k, token_count(F.col("text"))).otherwise(0)).cast("long")
-    g = both.groupBy(*keys).agg(side(0, "gt"), side(1, "pred"), F.count_if(F.col("side") == 0).alias("units"), tokens(0).alias("n_in"), tokens(1).alias("n_out")).where("units > 0")
+    g = _spread(both, keys).groupBy(*keys).agg(side(0, "gt"), side(1, "pred"), F.count_if(F.col("side") == 0).alias("units"), tokens(0).alias("n_in"), tokens(1).alias("n_out")).where("units > 0")
     number = lambda a: F.transform(a, lambda c, i: F.struct(i.alias("idx"), c["bag"].alias("bag")))
     g = g.select(*keys, "n_in", "n_out", F.filter("gt", lambda c: c["n"] >= least_tokens).alias("main"), number("gt").alias("gt"), number("pred").alias("pred"))
     weights = F.array(*[F.lit(w) for w in TOP_WEIGHTS])
@@ -153,7 +158,7 @@ def layer_scores(reference: DataFrame, predicted: DataFrame, keys: list[str], id
     ics = F.when(F.size("main") > 0, F.aggregate(covered, F.lit(0.0), lambda s, x: s + x) / F.size("main"))
     support = F.transform("pred", lambda c: _closest(c["bag"], F.col("gt")))
     bad = F.filter(support, lambda b: (F.coalesce(b["s"], F.lit(0.0)) < SIMILAR) & (F.coalesce(b["o"], F.lit(0.0)) < OVERLAPS))
-    return g.select(*keys, ics.alias("ics"), F.size("pred").cast("long").alias("n_claims"), F.size(bad).cast("long").alias("n_unsupported"), "n_in", "n_out")
+    return g.select(*keys, F.size("main").cast("long").alias("n_chunks"), ics.alias("ics"), F.size("pred").cast("long").alias("n_claims"), F.size(bad).cast("long").alias("n_unsupported"), "n_in", "n_out")
 
 
 def rouge_l(reference: DataFrame, prediction: DataFrame, by: list[str]) -> DataFrame:

@@ -83,9 +83,8 @@ _ICS = _chunks("gt_units", "unit_idx", "gc", 4) + _chunks("pred_texts", "text_id
   oi AS (SELECT meeting_id, sum(CASE layer WHEN 'participant' THEN 1.5 WHEN 'topic' THEN 1.0 ELSE 2.0 END * ics) / 4.5 AS ics FROM ics GROUP BY meeting_id)"""
 
 
-def _ics(spark, d):
-    g = C.text_chunks(A.gt_units(spark, d), _KEYS, "unit_idx", least_tokens=4)
-    return C.layer_ics(g, C.text_chunks(A.pred_texts(spark, d), _KEYS, "text_idx"), _KEYS)
+def _scores(spark, d):
+    return C.layer_scores(A.gt_units(spark, d), A.pred_texts(spark, d).withColumnRenamed("text_idx", "unit_idx"), _KEYS)
 
 
 @query("WITH " + _BASE + _ICS + " SELECT meeting_id, layer, gi AS gt_idx, pi AS pred_idx, r AS rank, round(ov, 6) AS overlap, round(sim, 6) AS similarity FROM rk WHERE r <= 3")
@@ -97,12 +96,12 @@ def ics_best_chunks(spark, d):
 
 @query("WITH " + _BASE + _ICS + " SELECT meeting_id, layer, n_chunks, round(ics, 5) AS ics FROM ics")
 def ics_layer(spark, d):
-    return _ics(spark, d).select("meeting_id", "layer", "n_chunks", F.round("ics", 5).alias("ics"))
+    return _scores(spark, d).where("n_chunks > 0").select("meeting_id", "layer", "n_chunks", F.round("ics", 5).alias("ics"))
 
 
 @query("WITH " + _BASE + _ICS + " SELECT meeting_id, round(ics, 5) AS ics FROM oi")
 def ics_overall(spark, d):
-    return C.overall_ics(_ics(spark, d)).select("meeting_id", F.round("ics", 5).alias("ics"))
+    return C.overall_ics(_scores(spark, d).where("n_chunks > 0")).select("meeting_id", F.round("ics", 5).alias("ics"))
 
 
 #: Claims are predicted sentences of the meeting layer and above, chunks are the reference's.
@@ -126,14 +125,14 @@ def claim_support(spark, d):
 
 @query("WITH " + _BASE + _HR + " SELECT meeting_id, layer, n_claims, n_unsupported, round(n_unsupported / n_claims, 6) AS hr FROM hr")
 def hallucination_rate(spark, d):
-    h = _support(spark, d).groupBy(*_KEYS).agg(F.count("*").alias("n_claims"), F.count_if("unsupported").alias("n_unsupported"))
+    h = _scores(spark, d).where("n_claims > 0").select("meeting_id", "layer", "n_claims", "n_unsupported")
     return h.select("*", F.round(F.col("n_unsupported") / F.col("n_claims"), 6).alias("hr"))
 
 
 @query("WITH " + _BASE + _ICS + _HR.replace(_chunks("pred_texts", "text_idx", "pc"), "") + _CR + """, h AS (SELECT meeting_id, sum(n_unsupported) / sum(n_claims) AS hr FROM hr GROUP BY 1), c AS (SELECT meeting_id, sum(n_out) / greatest(sum(n_in), 1) AS cr FROM cr GROUP BY 1)
   SELECT oi.meeting_id, round(oi.ics, 5) AS ics, round(coalesce(h.hr, 0), 5) AS hr, round(c.cr, 5) AS cr, round(oi.ics * (1 - coalesce(h.hr, 0)) * (1 - c.cr), 5) AS score FROM oi LEFT JOIN h USING (meeting_id) JOIN c USING (meeting_id)""")
 def summary_score(spark, d):
-    s = C.layer_scores(A.gt_units(spark, d), A.pred_texts(spark, d).withColumnRenamed("text_idx", "unit_idx"), _KEYS)
+    s = _scores(spark, d)
     weight = F
     for layer, x in C.LAYER_WEIGHTS.items():
         weight = weight.when(F.col("layer") == layer, x)
