@@ -308,7 +308,7 @@ def _removed(window: int, keep_text: bool):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE) -> DataFrame:
-    """(doc_id, th, a, l): l windows from byte a on repeat, in the document with that id and text hash th."""
+    """A written table (doc_id, th, a, l): l windows from byte a on repeat, in the document with that id and text hash th."""
     anchors = written(docs.select("doc_id", "th", "text").mapInArrow(_anchor_rows(window, gram), _ANCHORS), "anchors")
     again = anchors.groupBy("h").agg(F.count("*").alias("k"), F.max("own").alias("o")).where("k > 1 or o").select("h")
     again = written(again, "again")  # so that the join's sides are both shuffled by it and a hot value can be split
@@ -333,7 +333,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pi
     flags = written(flags.groupBy("h", "f").agg(F.collect_list(F.struct("s", "l")).alias("r")), "flags")
     dropped(again, distinct, several, open_, solved)
     where = held.join(flags, ["h", "f"]).select("doc_id", "th", "at", F.explode("r").alias("r"))
-    return where.select("doc_id", "th", (F.col("at") + F.col("r.s")).alias("a"), F.col("r.l").alias("l"))
+    where = written(where.select("doc_id", "th", (F.col("at") + F.col("r.s")).alias("a"), F.col("r.l").alias("l")), "windows")
+    dropped(held, flags)
+    return where
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE, keep_text: bool = False) -> DataFrame:
@@ -345,4 +347,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int =
     by_doc = where.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "l")).alias("found"))
     both = keyed.alias("d").join(by_doc.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")), "left")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * keep_text
-    return both.select("d.doc_id", "d.text", "w.found").mapInArrow(_removed(window, keep_text), kind)
+    out = written(both.select("d.doc_id", "d.text", "w.found").mapInArrow(_removed(window, keep_text), kind), "deduped")
+    dropped(where)
+    return out
