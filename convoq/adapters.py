@@ -128,12 +128,9 @@ ASR_SEGMENTS = RUNS + """,
 asr_segments AS (SELECT meeting_id, run_idx AS seq, 'Speaker ' || ((CAST(speaker[9:] AS INT) + CASE WHEN run_idx % 3 = 0 THEN 1 ELSE 0 END) % 3) AS speaker, start_ms, end_ms, text FROM runs)"""
 
 
-def sentences(df: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
-    """(keys, sent_idx, sentence): text split at ends of sentences, trimmed, empty ones dropped."""
-    parts = F.filter(F.transform(F.split(F.col(text), r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
-    rows = df.select(*keys, *[o for o in order if o not in keys], F.posexplode(parts).alias("pos", "sentence"))
-    idx = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "pos")) - 1
-    return rows.select(*keys, idx.cast("long").alias("sent_idx"), "sentence")
+def _parts(text: str):
+    """Sentences of a text: split at their ends, trimmed, empty ones dropped."""
+    return F.filter(F.transform(F.split(F.col(text), r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
 
 
 def gt_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +138,7 @@ def gt_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from convoq.operators.sequence import joined, topic_groups
 
     u = utterances(spark, sf_dir)
-    each = sentences(u, ["meeting_id", "utt_idx"], ["utt_idx"])
+    each = u.select("meeting_id", "utt_idx", F.posexplode(_parts("text")).alias("sent_idx", "sentence"))
     number = lambda df, layer: df.select("meeting_id", F.lit(layer).alias("layer"), (F.row_number().over(Window.partitionBy("meeting_id").orderBy("utt_idx", "sent_idx")) - 1).cast("long").alias("unit_idx"), F.col("sentence").alias("text"))
     topic = topic_groups(u, "meeting_id", "utt_idx").groupBy("meeting_id", "topic_idx").agg(joined(F.col("text"), "utt_idx").alias("text"))
     topic = topic.select("meeting_id", F.lit("topic").alias("layer"), F.col("topic_idx").alias("unit_idx"), "text")
@@ -165,7 +162,7 @@ def pred_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gt_units(spark, sf_dir)
     own = g.where("unit_idx % 2 = 1").select("meeting_id", "layer", F.col("unit_idx").alias("text_idx"), "text")
     foreign = g.where("unit_idx = 0").select((F.col("meeting_id") + 1).alias("meeting_id"), "layer", F.lit(1000000).cast("long").alias("text_idx"), "text")
-    return own.unionByName(foreign.join(g.select("meeting_id", "layer").distinct(), ["meeting_id", "layer"], "left_semi"))
+    return own.unionByName(foreign.join(g.where("unit_idx = 0").select("meeting_id", "layer"), ["meeting_id", "layer"], "left_semi"))
 
 
 PRED_TEXTS = GT_UNITS + """,
