@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with SQL where SQL can express them."""
+"""The operators as queries over whole tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoq.llm import classifier, decontaminate, mixing, quality_rules, rans, secret_scan, simhash, suffix_dedup, url_filters, wrappers
+from convoq.llm import classifier, decontaminate, mixing, quality_rules, rans, secret_scan, simhash, suffix_dedup, url_filters, vector_file, wrappers
 from convoq.llm.common import table
 
 
@@ -54,11 +54,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return vector_file.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_url_filters, op3_source_mixing, op4_quality_rules, op5_quality_classifier,
         op6_simhash_near_dedup, op7_secret_scans, op8_token_output, op9_html_extraction, op10_benchmark_decontamination,
+        op13_hard_negatives,
     )
 }
 
@@ -159,4 +165,13 @@ cu AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM hs
 ex AS (SELECT cu.source, cu.h, upto <= rest OR (upto - cu.size <= rest AND 2 * (rest - (upto - cu.size)) >= cu.size AND rest > 0) AS more FROM cu JOIN s6 ON cu.source IS NOT DISTINCT FROM s6.source)
 SELECT doc_id, size, source_size, target, CAST(size * least(whole + CAST(more AS INT), 2) AS BIGINT) AS taken, d.source
 FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source JOIN ex ON d.source IS NOT DISTINCT FROM ex.source AND d.h = ex.h""",
+    # Every anchor's score with every row.
+    "op13_hard_negatives": """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
