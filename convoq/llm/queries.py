@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoq.llm import classifier, decontaminate, mixing, quality_rules, rans, secret_scan, simhash, suffix_dedup, url_filters, vector_file, wrappers
+from convoq.llm import classifier, decontaminate, mixing, quality_rules, rans, secret_scan, simhash, suffix_dedup, turn_repair, url_filters, vector_file, wrappers
 from convoq.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return vector_file.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy), F.col("vec_id") % 100 == 0)
@@ -64,7 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_suffix_array_dedup, op2_url_filters, op3_source_mixing, op4_quality_rules, op5_quality_classifier,
         op6_simhash_near_dedup, op7_secret_scans, op8_token_output, op9_html_extraction, op10_benchmark_decontamination,
-        op13_hard_negatives,
+        op11_conversation_repair, op13_hard_negatives,
     )
 }
 
@@ -174,4 +178,29 @@ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER
 n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
   FROM p JOIN s ON s.r = p.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    # From each conversation's last turn back: for each state (nothing, s, u, a) the least cost, its audit, its messages.
+    "op11_conversation_repair": """
+WITH RECURSIVE t0 AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS b FROM conversations),
+t1 AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, octet_length(b) + 1), lambda i: [CAST(('0x' || hex(b[i:i])) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 20 AS how FROM t0),
+t2 AS (SELECT r, conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE how WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM t1),
+t3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), r, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n, trim(text, E' \t\n\x0B\x0C\r') AS core FROM t2),
+t4 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM t3),
+t AS (SELECT *, core = '' AS blank, core <> '' AND again AS duplicate, core <> '' AND NOT again AND right(core, 1) NOT IN ('.', '!', '?') AS truncated FROM t4),
+k AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, any_value(n) AS n FROM t GROUP BY conv_id),
+dp AS (SELECT conv_id, n + 1 AS i, {'c': 0, 'a': '', 'm': []::VARCHAR[]} AS e, {'c': 4, 'a': 'II', 'm': ['user:', 'assistant:']} AS s, {'c': 2, 'a': 'I', 'm': ['assistant:']} AS u, {'c': 0, 'a': '', 'm': []::VARCHAR[]} AS a FROM k
+  UNION ALL
+  SELECT conv_id, i, e, s, u, a FROM (SELECT conv_id, i, list_min([e2, {'c': u2.c + 2, 'a': 'I' || u2.a, 'm': list_prepend('user:', u2.m)}]) AS e, list_min([s2, {'c': u2.c + 2, 'a': 'I' || u2.a, 'm': list_prepend('user:', u2.m)}]) AS s, u2 AS u, list_min([a2, {'c': u2.c + 2, 'a': 'I' || u2.a, 'm': list_prepend('user:', u2.m)}]) AS a
+  FROM (SELECT conv_id, i, e1 AS e2, s1 AS s2, a1 AS a2, list_min([u1, {'c': a1.c + 2, 'a': 'I' || a1.a, 'm': list_prepend('assistant:', a1.m)}]) AS u2
+  FROM (SELECT conv_id, i, e1, s1, u1, list_min([a1, {'c': u1.c + 2, 'a': 'I' || u1.a, 'm': list_prepend('user:', u1.m)}]) AS a1
+  FROM (SELECT dp.conv_id, t.i,
+    list_min([{'c': e.c + 3, 'a': 'D' || e.a, 'm': e.m}, {'c': u.c + cut + CASE WHEN f = 'u' THEN gone ELSE never END, 'a': 'K' || u.a, 'm': list_prepend(line, u.m)}, {'c': s.c + cut + CASE WHEN f = 's' THEN gone ELSE never END, 'a': 'K' || s.a, 'm': list_prepend(line, s.m)}, {'c': u.c + 2 + cut + gone, 'a': 'R' || u.a, 'm': list_prepend('user:' || text, u.m)}]) AS e1,
+    list_min([{'c': s.c + 3, 'a': 'D' || s.a, 'm': s.m}, {'c': u.c + cut + CASE WHEN f = 'u' THEN gone ELSE never END, 'a': 'K' || u.a, 'm': list_prepend(line, u.m)}, {'c': u.c + 2 + cut + gone, 'a': 'R' || u.a, 'm': list_prepend('user:' || text, u.m)}]) AS s1,
+    list_min([{'c': u.c + 3, 'a': 'D' || u.a, 'm': u.m}, {'c': a.c + cut + CASE WHEN f = 'a' THEN gone ELSE never END, 'a': 'K' || a.a, 'm': list_prepend(line, a.m)}, {'c': a.c + 2 + cut + gone, 'a': 'R' || a.a, 'm': list_prepend('assistant:' || text, a.m)}]) AS u1,
+    list_min([{'c': a.c + 3, 'a': 'D' || a.a, 'm': a.m}, {'c': u.c + cut + CASE WHEN f = 'u' THEN gone ELSE never END, 'a': 'K' || u.a, 'm': list_prepend(line, u.m)}, {'c': u.c + 2 + cut + gone, 'a': 'R' || u.a, 'm': list_prepend('user:' || text, u.m)}]) AS a1
+    FROM dp JOIN (SELECT *, role[1] AS f, role || ':' || text AS line, CAST(truncated AS INT) AS cut, CASE WHEN blank OR duplicate THEN 1000000 ELSE 0 END AS gone, 1000000 AS never FROM t) t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.i = dp.i - 1))))),
+d AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(array_to_string(e.m, chr(10)), '')) AS repaired_sha256
+FROM d LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN dp ON dp.conv_id IS NOT DISTINCT FROM d.conv_id AND dp.i = 1""",
 }
