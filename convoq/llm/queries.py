@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoq.llm import classifier, decontaminate, mixing, quality_rules, rans, secret_scan, simhash, suffix_dedup, turn_repair, url_filters, vector_file, wrappers
+from convoq.llm import classifier, context_mixing, decontaminate, mixing, quality_rules, rans, secret_scan, simhash, suffix_dedup, turn_repair, url_filters, vector_file, wrappers
 from convoq.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.report(turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations"))))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return vector_file.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy), F.col("vec_id") % 100 == 0)
@@ -68,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_suffix_array_dedup, op2_url_filters, op3_source_mixing, op4_quality_rules, op5_quality_classifier,
         op6_simhash_near_dedup, op7_secret_scans, op8_token_output, op9_html_extraction, op10_benchmark_decontamination,
-        op11_conversation_repair, op13_hard_negatives,
+        op11_conversation_repair, op12_lm_scoring, op13_hard_negatives,
     )
 }
 
