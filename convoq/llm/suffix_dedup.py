@@ -344,7 +344,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int =
     text = F.col("text").cast("string")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     where = repeated_windows(keyed, window, gram, piece)
-    by_doc = where.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "l")).alias("found"))
+    by_doc = where.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "l")).alias("found"))  # rows that repeat id and text tell the same
     both = keyed.alias("d").join(by_doc.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")), "left")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * keep_text
     out = written(both.select("d.doc_id", "d.text", "w.found").mapInArrow(_removed(window, keep_text), kind), "deduped")

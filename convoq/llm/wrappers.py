@@ -1,14 +1,16 @@
 """HTML extraction: wrappers inferred as union-free regular expressions, per host.
 
 Pages of a host are aligned with a growing expression over block-level tags and texts. A text that is
-the same on all pages stays a constant of the template; where texts differ, they become a slot. Tags
-against tags become a repeated group if the stretch repeats what stands before it, else an optional
-group. The expression tells which element holds the slots of the host's running text: that signature
-is the host's main region. Every page is then read once: what fills the region's slots is taken,
-without the template's constants and without what stands in menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments. A text of an optional group is not on
-all pages and so no constant. Names of elements rank regions that hold slots; a host without such a
-name gives all slots of its bodies, and a page that lacks its host's region is judged by its own tags.
+the same on all pages stays a constant of the template; where texts differ, they become a slot. What
+stands once on either side, tag or text, is an anchor, and anchors in one order on both sides are met
+first, so that a footer is found again behind bodies of any kind. Between them, tags against tags become
+a repeated group if the stretch repeats what stands before it, else an optional group. The expression tells which element holds the slots of the host's running text: that signature
+is the host's main region. Every page is then read once: all that the region holds is taken, without what
+stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments;
+a heading that all articles share is running text, too. Names of elements (without numbers) rank regions
+that hold slots; a host without such a name gives its bodies without the template's constants, which are
+its menus and footers there (if nothing else is left, the page's whole body). A text of an optional group is
+not on all pages and so no constant. A page that lacks its host's region is judged by its own tags.
 
 The inference reads all pages, whole. Pages of one structure are merged where they are read, so what is
 shuffled is one row for each structure and task; structures of a host are aligned in shares, then the shares.
@@ -27,7 +29,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -72,6 +74,8 @@ DROP_WORDS = frozenset(
     "subscribe subscription signup popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar aside "
     "comment comments disqus replies footer masthead copyright pagination pager login".split()
 )
+#: The only ones of these words that make an article something else than running text.
+ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus replies".split())
 #: Words for menus that may as well name running text: their elements go if at least half of their text is links.
 LINK_WORDS = frozenset("share sharing social related recommended recommendations widget widgets promo promotion toolbar".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
@@ -87,8 +91,8 @@ class Tag:
 
     @property
     def signature(self) -> str:
-        """What names a region: the tag, for general tags with the words of class and id."""
-        return self.name if self.name in ("article", "main", "body") else ".".join([self.name, *sorted(self.hints)])
+        """What names a region: the tag, for general tags with the words of class and id; numbers count pages, not kinds."""
+        return self.name if self.name in ("article", "main", "body") else ".".join([self.name, *sorted(w for w in self.hints if not w.isdigit())])
 
 
 def _tag(close: str, name: str, attributes: str) -> Tag:
@@ -207,6 +211,37 @@ def folded(items: list) -> list:
 
 def align(a: list, b: list) -> list:
     """The expression that covers a and b: texts that differ become slots, other mismatches repeated groups if they can, else optional ones."""
+    out: list = []
+    i = j = 0
+    for p, q in [*_anchors(a, b), (len(a), len(b))]:
+        out += _between(a[i:p], b[j:q])
+        if p < len(a):
+            out.append(_merged(a[p], b[q]))
+        i, j = p + 1, q + 1
+    return out
+
+
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of items that stand once in a and once in b, texts and repeats by their values: the most of them that are in one order."""
+    name = lambda x: x if isinstance(x, str) else (_key(x), x.seen)
+    once = lambda items: {k: i[0] for k, i in _places([name(x) for x in items]).items() if len(i) == 1 and k != SLOT}
+    at_a, at_b = once(a), once(b)
+    pairs = sorted((i, at_b[k]) for k, i in at_a.items() if k in at_b)
+    ends: list[int] = []  # of chains by length, the one that ends first in b
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        before[n] = last[k - 1] if k else -1
+        ends[k:], last[k:] = [j, *ends[k + 1 :]], [n, *last[k + 1 :]]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _between(a: list, b: list) -> list:
     ka, kb = [_key(x) for x in a], [_key(x) for x in b]
     if ka == kb:
         return [_merged(x, y) for x, y in zip(a, b, strict=True)]
@@ -357,6 +392,8 @@ def _dropped(items: list[Tag | str], i: int, end: int, inside: bool) -> bool:
         return True
     if t.name in ("body", "html", "main"):
         return False
+    if t.name == "article":
+        return bool(t.hints & ARTICLE_WORDS)
     return bool(t.hints & DROP_WORDS or (t.hints & LINK_WORDS and _is_menu(items[i + 1 : end])))
 
 
@@ -409,10 +446,10 @@ def _blocks(items: list[Tag | str], ends: dict[int, int], start: int, stop: int,
 
 
 def extract(page: str | None, region: str = "", constant: Sequence[str] = ()) -> str:
-    """The main text: what fills the slots of the host's expression, constant being its other texts.
+    """The main text: all that elements with signature region hold, else those of the best region of the page that has any.
 
-    Tags say which slots are asked: those of the elements with signature region, else of the best region of the
-    page that has any, else of its body; excluded elements are left out everywhere.
+    A page without such an element gives its body without the host's constants (with them, if nothing is left);
+    excluded elements are left out everywhere.
     """
     if not page:
         return ""
@@ -433,12 +470,10 @@ def extract(page: str | None, region: str = "", constant: Sequence[str] = ()) ->
     size = lambda spans: sum(len(x) for a, b in spans for x in items[a:b] if isinstance(x, str))
     for best in sorted(found, key=lambda s: (s == region, _rank(s), size(found[s]), s), reverse=True):
         spans = found[best]
-        left = Counter(constant)
-        blocks = [x for a, b in spans for x in _blocks(items, ends, a + 1, b, True, left)]
-        if blocks or left == Counter(constant):
+        if blocks := [x for a, b in spans for x in _blocks(items, ends, a + 1, b, True, Counter())]:
             return "\n\n".join(blocks)
     body = next((i for i, t in enumerate(items) if not isinstance(t, str) and t.name == "body" and not t.close), -1)
-    return "\n\n".join(_blocks(items, ends, body + 1, len(items), False, Counter(constant)))
+    return "\n\n".join(_blocks(items, ends, body + 1, len(items), False, Counter(constant)) or _blocks(items, ends, body + 1, len(items), False, Counter()))
 
 
 # Folding all pages ---------------------------------------------------------------------------------------------------

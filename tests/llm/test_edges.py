@@ -1,5 +1,6 @@
 """Rows that go wrong easily, and results against plain forms of what an operator learns, spreads or iterates."""
 
+import json
 import math
 import random
 import re
@@ -400,3 +401,61 @@ def test_shared_folder_is_the_sessions_or_the_contexts(spark):
     t = common.written(spark.range(3).toDF("x"))
     assert t.count() == 3 and DOC
     common.dropped(t)
+
+
+# Rows that repeat id and text ------------------------------------------------------------------------------------------
+
+
+def test_many_copies_of_one_row_have_one_list(spark, monkeypatch):
+    """All copies of a row with a null id lose what its text has twice or more; what is told of them is told once."""
+    told = []
+    plain = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda *a, **k: told.append(plain(*a, **k)) or told[-1])
+    text = " ".join(f"word{i % 97}x{i}" for i in range(250))
+    rows = [(None, text, "s")] * 300 + [(1, "short", "s")]
+    got = suffix_dedup.dedup(frame(spark, rows, extra=False)).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in got) == {(None, len(text)): 300, (1, 0): 1}
+    monkeypatch.undo()
+    windows = plain(frame(spark, rows[:300], extra=False).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"))
+    lists = windows.groupBy("doc_id", "th").agg(F.size(F.collect_set(F.struct("a", "l"))).alias("n"), F.count("*").alias("rows")).collect()
+    assert len(lists) == 1 and lists[0].n * 300 == lists[0].rows
+
+
+# Main texts: what may be dropped, and what may not ----------------------------------------------------------------------
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://{host}/p{i}", h) for i, (host, h) in enumerate(pages)]
+    return {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_what_articles_share_is_kept(spark):
+    shared = [("a.x", f"<body><nav>menu</nav><article><h1>Daily report</h1><p>text {i}</p><blockquote>A quotation.</blockquote></article></body>") for i in range(3)]
+    twice = [("b.x", f"<body><div>menu {i}</div><article><h1>Same</h1><p>The same article.</p></article></body>") for i in range(2)]
+    parts = [("c.x", f'<body><div class="post text" id="text-1"><p>one {i}</p></div><div class="post text" id="text-2"><p>two {i}</p></div></body>') for i in range(2)]
+    login = [("d.x", '<body><article class="login"><p>How to log in.</p></article><article class="comment"><p>A reader.</p></article></body>')]
+    got = extracted(spark, shared + twice + parts + login)
+    assert [got[i] for i in range(3)] == [f"Daily report\n\ntext {i}\n\nA quotation." for i in range(3)]
+    assert got[3] == got[4] == "Same\n\nThe same article."
+    assert [got[5], got[6]] == ["one 0\n\ntwo 0", "one 1\n\ntwo 1"]
+    assert got[7] == "How to log in."
+
+
+@pytest.mark.parametrize("n", [2, 5, 20, 60])
+def test_unnamed_menu_and_footer_go_whatever_the_bodies_are(spark, n):
+    rng = random.Random(n)
+    pages, want = [], []
+    for i in range(n):
+        blocks = [(k, f"{k} {i} {j} word") for j, k in enumerate(rng.choices(["p", "h2", "li", "blockquote"], k=rng.randint(2, 9)))]
+        body = "".join(f"<ul><li>{t}</li></ul>" if k == "li" else f"<{k}>{t}</{k}>" for k, t in blocks)
+        pages.append(("s.x", f"<html><body><div><ul><li>Home</li><li>About us</li></ul></div><div>{body}</div><div><p>All rights reserved</p><p>Imprint</p></div></body></html>"))
+        want.append("\n\n".join(t for _, t in blocks))
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(n)] == want
+
+
+def test_numbered_ids_are_one_structure():
+    pages = [f'<body><div class="post" id="post-{i}"><p>text {i}</p></div></body>' for i in range(300)]
+    assert len({json.dumps([wrappers._key(x) for x in wrappers.stream(p)]) for p in pages}) == 1
+    expression = wrappers.infer(pages)
+    assert len(expression) < 12 and wrappers.main_region(expression) == "div.post"
