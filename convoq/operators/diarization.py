@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from convoq.operators.intervals import frames, overlap_join, overlap_ms, sweep
-from convoq.operators.sequence import interval_union, numbered
+from convoq.operators.scan import numbered
+from convoq.operators.sequence import interval_union
 
 
 def length() -> Column:
@@ -146,7 +147,7 @@ def detection(gt: DataFrame, system: DataFrame, tolerance: int = 10, frame_ms: i
         wide = df.join(last, "meeting_id").select(
             "meeting_id", F.greatest(F.lit(0), F.expr(f"(start_ms - {tolerance}) div {frame_ms}")).alias("start_ms"), F.least(F.col("n"), F.expr(f"(end_ms + {tolerance}) div {frame_ms}")).alias("end_ms")
         )
-        return interval_union(wide, "meeting_id")
+        return interval_union(wide, "meeting_id", binned=False)
 
     g, s = speech(gt), speech(system)
     size = lambda df, name: df.groupBy("meeting_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).cast("long").alias(name))
@@ -168,7 +169,7 @@ def runs(sw: DataFrame, column: str) -> DataFrame:
     """(meeting_id, run_idx, column, run_length) of a sweep's speakers in frames; silence does not end a run."""
     v = sw.where(F.col(column).isNotNull())
     before = F.lag(column).over(Window.partitionBy("meeting_id").orderBy("start"))
-    r = numbered(v, ~F.col(column).eqNullSafe(before), "meeting_id", "start", name="run_idx")
+    r = numbered(v, ~F.col(column).eqNullSafe(before), "meeting_id", ["start"], "run_idx", binned=False)
     return r.groupBy("meeting_id", "run_idx", column).agg(F.sum(length()).cast("long").alias("run_length"))
 
 
@@ -176,7 +177,7 @@ def joined_stretches(sw: DataFrame) -> DataFrame:
     """A mapped sweep with neighbouring stretches put together where both speakers stay: what a timeline shows."""
     w = Window.partitionBy("meeting_id").orderBy("start")
     same = F.lag("gt").over(w).eqNullSafe(F.col("gt")) & F.lag("sys_gt").over(w).eqNullSafe(F.col("sys_gt")) & (F.lag("end").over(w) == F.col("start"))
-    n = numbered(sw, ~F.coalesce(same, F.lit(False)), "meeting_id", "start", name="stretch_idx")
+    n = numbered(sw, ~F.coalesce(same, F.lit(False)), "meeting_id", ["start"], "stretch_idx", binned=False)
     return n.groupBy("meeting_id", "stretch_idx", "gt", "sys_gt").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
@@ -223,11 +224,11 @@ def error_intervals(sw: DataFrame, window: int = 5, merge_gap: int = 50) -> Data
     """
     bad = sw.where(F.col("gt").isNotNull() & ~F.col("sys_gt").eqNullSafe(F.col("gt")))
     wide = bad.select("meeting_id", (F.col("start") - window).alias("start_ms"), (F.col("end") + window).alias("end_ms"))
-    near = interval_union(wide, "meeting_id").select("meeting_id", "start_ms", "end_ms")
+    near = interval_union(wide, "meeting_id", binned=False).select("meeting_id", "start_ms", "end_ms")
     speech = sw.where("gt is not null").select("meeting_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "gt", "sys_gt")
     j = overlap_join(near.withColumn("start_ms", F.greatest(F.lit(0), "start_ms")), speech, width=6_000)
     part = j.select("meeting_id", F.greatest("a_start_ms", "b_start_ms").alias("s"), F.least("a_end_ms", "b_end_ms").alias("e"), F.col("b_gt").alias("gt"), F.col("b_sys_gt").alias("sys"))
     w = Window.partitionBy("meeting_id").orderBy("s")
     new = ~(F.lag("gt").over(w).eqNullSafe(F.col("gt")) & F.lag("sys").over(w).eqNullSafe(F.col("sys"))) | (F.col("s") - (F.lag("e").over(w) - 1) > merge_gap)
-    e = numbered(part, new | (F.row_number().over(w) == 1), "meeting_id", "s", name="err_idx")
+    e = numbered(part, new | (F.row_number().over(w) == 1), "meeting_id", ["s"], "err_idx", binned=False)
     return e.groupBy("meeting_id", "err_idx", "gt", "sys").agg(F.min("s").alias("start"), (F.max("e") - 1).alias("end"))

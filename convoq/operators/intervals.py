@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoq.operators.scan import scan
+
 #: Width of the bins that turn an overlap join into an equality join.
 BIN_MS = 60_000
 
@@ -35,14 +37,13 @@ def overlap_ms() -> Column:
 def asof(events: DataFrame, at: str, segments: DataFrame, partition: str = "meeting_id", order: str = "seq") -> DataFrame:
     """Each event with the last segment that starts at or before it: columns seg_* (null without one).
 
-    One union, one shuffle and one sort; of segments that start together the last in order counts.
+    One union, whose rows are scanned in bins of time; of segments that start together the last in order counts.
     """
     seg = F.struct(*[F.col(c) for c in segments.columns if c != partition])
     e = events.select(partition, F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__o"), F.struct(*events.columns).alias("__e"))
     s = segments.select(partition, F.col("start_ms").alias("__t"), F.lit(0).alias("__kind"), F.col(order).cast("long").alias("__o"), seg.alias("__s"))
     both = e.unionByName(s, allowMissingColumns=True)
-    last = F.last("__s", ignorenulls=True).over(Window.partitionBy(partition).orderBy("__t", "__kind", "__o").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("__f", last).where("__kind = 1")
+    found = scan(both, partition, ["__t", "__kind", "__o"], latest={"__f": F.col("__s")}).where("__kind = 1")
     return found.select("__e.*", *[F.col(f"__f.{c}").alias(f"seg_{c}") for c in segments.columns if c != partition])
 
 

@@ -1,4 +1,7 @@
-"""Runs, gaps, windows and folds over ordered rows of a meeting."""
+"""Runs, gaps, windows and folds over ordered rows of a meeting.
+
+What a row needs from the rows before it comes from `scan`, whose tasks hold a bin of a meeting, never all of it.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +10,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoq.operators.scan import ROWS, WIDTH, crowded, numbered, scan
+
 
 def _w(partition: str | Sequence[str], *order) -> Window:
     keys = [partition] if isinstance(partition, str) else list(partition)
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def numbered(df: DataFrame, new: Column, partition, *order, name: str) -> DataFrame:
-    """df with a 0-based number that grows by one at each row where new holds."""
-    return df.withColumn(name, (F.sum(F.when(new, 1).otherwise(0)).over(_w(partition, *order)) - 1).cast("long"))
-
-
 def joined(text: Column, *order: str) -> Column:
     """Aggregate: text joined by spaces in that order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("__t")))), lambda s: s["__t"]), " ")
@@ -25,9 +25,10 @@ def joined(text: Column, *order: str) -> Column:
 
 def merge_runs(df: DataFrame, partition: str, order: str, key: str, text: str = "text") -> DataFrame:
     """Neighbouring rows with one key become one: first start, last end, texts joined."""
-    changed = ~F.col(key).eqNullSafe(F.lag(key).over(_w(partition, order)))
-    first = F.row_number().over(_w(partition, order)) == 1
-    runs = numbered(df, changed | first, partition, order, name="run_idx")
+    many = crowded(df, partition)
+    before = scan(df, partition, [order], previous={"__key": F.struct(F.col(key).alias("k"))}, width=ROWS, binned=many)
+    changed = F.col("__key").isNull() | ~F.col(key).eqNullSafe(F.col("__key.k"))
+    runs = numbered(before, changed, partition, [order], "run_idx", ROWS, many).drop("__key")
     return runs.groupBy(partition, "run_idx", key).agg(
         F.min_by("start_ms", order).alias("start_ms"), F.max_by("end_ms", order).alias("end_ms"),
         F.count("*").alias("n_utts"), joined(F.col(text), order).alias("text"),
@@ -36,9 +37,10 @@ def merge_runs(df: DataFrame, partition: str, order: str, key: str, text: str =
 
 def gap_segments(df: DataFrame, partition: str, max_gap: int = 500) -> DataFrame:
     """Words in time order become segments while the speaker stays and the gap is at most max_gap."""
-    w = _w(partition, "start_ms", "word_idx")
-    new = F.lag("speaker").over(w).isNull() | (F.lag("speaker").over(w) != F.col("speaker")) | (F.col("start_ms") - F.lag("end_ms").over(w) > max_gap)
-    s = numbered(df, new, partition, "start_ms", "word_idx", name="seg_idx")
+    by, many = ["start_ms", "word_idx"], crowded(df, partition)
+    d = scan(df, partition, by, previous={"__speaker": F.col("speaker"), "__end": F.col("end_ms")}, binned=many)
+    new = F.col("__speaker").isNull() | (F.col("__speaker") != F.col("speaker")) | (F.col("start_ms") - F.col("__end") > max_gap)
+    s = numbered(d, new, partition, by, "seg_idx", binned=many)
     order = F.struct("start_ms", "word_idx")
     return s.groupBy(partition, "seg_idx", "speaker").agg(
         F.min("start_ms").alias("start_ms"), F.max_by("end_ms", order).alias("end_ms"), F.count("*").alias("n_words"),
@@ -48,9 +50,10 @@ def gap_segments(df: DataFrame, partition: str, max_gap: int = 500) -> DataFrame
 
 def silence_chunks(df: DataFrame, partition: str, order: str, min_gap: int = 2000) -> DataFrame:
     """Segments become chunks that end where the gap to the next is at least min_gap."""
-    w = _w(partition, "start_ms", order)
-    new = F.lag("end_ms").over(w).isNull() | (F.col("start_ms") - F.lag("end_ms").over(w) >= min_gap)
-    c = numbered(df, new, partition, "start_ms", order, name="chunk_idx")
+    many = crowded(df, partition)
+    d = scan(df, partition, ["start_ms", order], previous={"__end": F.col("end_ms")}, binned=many)
+    new = F.col("__end").isNull() | (F.col("start_ms") - F.col("__end") >= min_gap)
+    c = numbered(d, new, partition, ["start_ms", order], "chunk_idx", binned=many)
     return c.groupBy(partition, "chunk_idx").agg(F.min("start_ms").alias("start_ms"), F.max_by("end_ms", F.struct("start_ms", order)).alias("end_ms"), F.count("*").alias("n_segments"))
 
 
@@ -82,26 +85,30 @@ def sub_segments(df: DataFrame, size: int = 300, stride: int = 100, most: int =
     return p.withColumn("sub_idx", F.expr("__p div __step")).withColumn("sub_start", start).withColumn("sub_end", start + size).drop("__p", "__step")
 
 
-def interval_union(df: DataFrame, partition, start: str = "start_ms", end: str = "end_ms", least: int = 0, slack: int = 0) -> DataFrame:
+def interval_union(df: DataFrame, partition, start: str = "start_ms", end: str = "end_ms", least: int = 0, slack: int = 0, width: int = WIDTH, binned: bool | None = None) -> DataFrame:
     """Intervals longer than 0 and at least `least` long, merged where they touch (or are up to slack apart)."""
     keys = [partition] if isinstance(partition, str) else list(partition)
     d = df.where((F.col(end) > F.col(start)) & (F.col(end) - F.col(start) >= least)) if slack == 0 else df.where(F.col(end) >= F.col(start))
-    before = F.max(end).over(_w(keys, start, end).rowsBetween(Window.unboundedPreceding, -1))
-    m = numbered(d, before.isNull() | (F.col(start) > before + slack), keys, start, end, name="union_idx")
+    many = crowded(d, keys) if binned is None else binned
+    d = scan(d, keys, [start, end], most={"__before": F.col(end)}, width=width, binned=many)
+    m = numbered(d, F.col("__before").isNull() | (F.col(start) > F.col("__before") + slack), keys, [start, end], "union_idx", width, many)
     return m.groupBy(*keys, "union_idx").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_parts"))
 
 
 def topic_groups(df: DataFrame, partition: str, order: str, max_topics: int = 4, total_ms: int = 90_000) -> DataFrame:
     """A topic number for each row: a new topic where the gap exceeds total_ms / max_topics, up to max_topics of them."""
-    w = _w(partition, "start_ms", order)
-    far = (F.col("start_ms") - F.lag("end_ms").over(w)) * max_topics > total_ms
-    return df.withColumn("topic_idx", F.least(F.sum(F.when(far, 1).otherwise(0)).over(w), F.lit(max_topics - 1)).cast("long"))
+    many = crowded(df, partition)
+    d = scan(df, partition, ["start_ms", order], previous={"__end": F.col("end_ms")}, binned=many)
+    far = (F.col("start_ms") - F.col("__end")) * max_topics > total_ms
+    d = scan(d, partition, ["start_ms", order], total={"topic_idx": F.when(far, 1).otherwise(0)}, binned=many).drop("__end")
+    return d.withColumn("topic_idx", F.least("topic_idx", F.lit(max_topics - 1)).cast("long"))
 
 
 def assemble_sentences(df: DataFrame, partition: str, order: str = "word_idx") -> DataFrame:
     """Words up to one that ends in . ! or ? are a sentence; what is left at the end is one, too."""
-    ended = F.lag(F.col("word").rlike(r"[.!?]$")).over(_w(partition, order))
-    s = numbered(df, F.coalesce(ended, F.lit(True)), partition, order, name="sent_idx")
+    many = crowded(df, partition)
+    d = scan(df, partition, [order], previous={"__ended": F.col("word").rlike(r"[.!?]$")}, width=ROWS, binned=many)
+    s = numbered(d, F.coalesce("__ended", F.lit(True)), partition, [order], "sent_idx", ROWS, many)
     return s.groupBy(partition, "sent_idx").agg(
         F.min_by("start_ms", order).alias("start_ms"), F.max_by("end_ms", order).alias("end_ms"), F.count("*").alias("n_words"), joined(F.col("word"), order).alias("text")
     )
@@ -119,10 +126,12 @@ def batches(df: DataFrame, partition: str, order: str, size: int = 10) -> DataFr
     return df.withColumn("batch_idx", F.floor((F.row_number().over(_w(partition, order)) - 1) / size).cast("long"))
 
 
-def label_runs(df: DataFrame, partition: str, order: str, value: str, length: Column | None = None) -> DataFrame:
+def label_runs(df: DataFrame, partition: str, order: str, value: str, length: Column | None = None, width: int = ROWS) -> DataFrame:
     """(partition, run_idx, value, run_length): null values neither count nor end a run; length is a row's weight."""
     v = df.where(F.col(value).isNotNull())
-    r = numbered(v, ~F.col(value).eqNullSafe(F.lag(value).over(_w(partition, order))), partition, order, name="run_idx")
+    many = crowded(v, partition)
+    d = scan(v, partition, [order], previous={"__value": F.col(value)}, width=width, binned=many)
+    r = numbered(d, ~F.col(value).eqNullSafe(F.col("__value")), partition, [order], "run_idx", width, many)
     return r.groupBy(partition, "run_idx", value).agg(F.sum(length if length is not None else F.lit(1)).cast("long").alias("run_length"))
 
 
@@ -139,9 +148,10 @@ def capped_groups(df: DataFrame, partition: str, order: str, max_gap: int = 800,
     A new speaker or a long gap ends a group whatever came before, so these chains are cut by a window. Only within a
     chain does it depend on how long the group has become whether a row joins: a fold over the chain's rows.
     """
-    w = _w(partition, "start_ms", order)
-    joins = (F.col("speaker") == F.lag("speaker").over(w)) & (F.col("start_ms") - F.lag("end_ms").over(w) <= max_gap)
-    chains = numbered(df, ~F.coalesce(joins, F.lit(False)), partition, "start_ms", order, name="__chain")
+    by, many = ["start_ms", order], crowded(df, partition)
+    d = scan(df, partition, by, previous={"__speaker": F.col("speaker"), "__end": F.col("end_ms")}, binned=many)
+    joins = (F.col("speaker") == F.col("__speaker")) & (F.col("start_ms") - F.col("__end") <= max_gap)
+    chains = numbered(d, ~F.coalesce(joins, F.lit(False)), partition, by, "__chain", binned=many).drop("__speaker", "__end")
     group = "struct<s bigint, e bigint, n bigint>"
     state = f"struct<done array<{group}>, now {group}>"
 

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoq.functions.vectors import cosine, dot, euclidean
+from convoq.operators.scan import crowded, numbered, scan
+from convoq.scratch import bounded
 
 #: Fixed values of the reassignment.
 FIRM = 0.35
 OUTLIER_STD = 1.5
-#: Rows of a group that is clustered in one task (a matrix of doubles of 200 MB).
-MOST_ROWS = 5_000
+#: Rows of a group whose matrix (of doubles, 200 MB) one task holds; rows of a group that one task agglomerates.
+MOST_ROWS, MOST_MERGED = 5_000, 50_000
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 30, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -60,9 +62,9 @@ def nearest_centroid(vectors: DataFrame, cents: DataFrame, key: str = "vec_id",
 
 def outliers(vectors: DataFrame, by: list[str], key: str = "vec_id", vector: str = "embedding", k: float = OUTLIER_STD) -> DataFrame:
     """(key, by, distance, is_outlier): farther from the group's centroid than mean + k population deviations."""
-    d = vectors.join(centroids(vectors, by, vector).drop("n"), by).select(key, *by, euclidean(F.col(vector), F.col("centroid")).alias("distance"))
-    w = Window.partitionBy(*by)
-    return d.select("*", (F.col("distance") > F.avg("distance").over(w) + k * F.stddev_pop("distance").over(w)).alias("is_outlier"))
+    d = vectors.join(bounded(centroids(vectors, by, vector).drop("n")), by).select(key, *by, euclidean(F.col(vector), F.col("centroid")).alias("distance"))
+    limit = d.groupBy(*by).agg((F.avg("distance") + k * F.stddev_pop("distance")).alias("__limit"))  # partial sums before the shuffle: a large group fills no task
+    return d.join(bounded(limit), by).select(key, *by, "distance", (F.col("distance") > F.col("__limit")).alias("is_outlier"))
 
 
 def reassign(outlying: DataFrame, skipped: DataFrame, cents: DataFrame, key: str = "vec_id", firm: float = FIRM, metric: str = "dot") -> DataFrame:
@@ -166,51 +168,91 @@ def _kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> np.ndarra
     return label
 
 
+def _laplacian(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, ascending, and eigenvectors of the normalised Laplacian of a graph."""
+    d = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
+    return np.linalg.eigh(np.eye(len(a)) - d[:, None] * a * d[None])
+
+
+def number_of_clusters(x: np.ndarray, least: int = 3, most: int = 10) -> int:
+    """After how many eigenvalues of the cosine graph's Laplacian the largest gap is."""
+    sim = np.clip(_unit(x) @ _unit(x).T, 0, None)
+    gaps = np.diff(_laplacian(sim)[0])[least - 1 : max(least, min(most, len(x) - 1)) - 1]
+    return int(np.argmax(gaps)) + least if len(gaps) else least
+
+
 def spectral(x: np.ndarray, least: int = 3, most: int = 10, neighbours: int = 10) -> np.ndarray:
     """Labels from the eigen-gap of the cosine graph's Laplacian and k-means on the kNN graph's eigenvectors."""
     n = len(x)
     if n <= least:
         return np.arange(n)
     sim = np.clip(_unit(x) @ _unit(x).T, 0, None)
-
-    def vectors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
-        return np.linalg.eigh(np.eye(n) - d[:, None] * a * d[None])
-
-    gaps = np.diff(vectors(sim)[0])[least - 1 : max(least, min(most, n - 1)) - 1]
-    k = int(np.argmax(gaps)) + least if len(gaps) else least
+    k = number_of_clusters(x, least, most)
     near = np.zeros_like(sim)
     top = np.argsort(-sim, axis=1, kind="stable")[:, : min(neighbours + 1, n)]
     np.put_along_axis(near, top, 1.0, 1)
-    return _kmeans(_unit(vectors((near + near.T) / 2)[1][:, :k]), k)
+    return _kmeans(_unit(_laplacian((near + near.T) / 2)[1][:, :k]), k)
 
 
 def agglomerative(x: np.ndarray, least: int = 2, most: int = 20) -> np.ndarray:
-    """Average linkage on cosine distance, cut where the silhouette (where it is undefined: minus Davies-Bouldin) is largest."""
+    """Average linkage on cosine distance, cut where the silhouette (where it is undefined: minus Davies-Bouldin) is largest.
+
+    The mean distance of two clusters is one minus the product of their sums of unit vectors over both sizes, so sums are
+    all that is kept: memory is linear. Chains of nearest neighbours end in pairs that are each other's nearest, which
+    average linkage joins at some time anyway; sorted by distance, these are the merges of the dendrogram.
+    """
     n = len(x)
     if n <= least:
         return np.arange(n)
-    dist = 1 - _unit(x) @ _unit(x).T
-    np.fill_diagonal(dist, 0)
-    work, size = dist.copy(), np.ones(n)
-    np.fill_diagonal(work, np.inf)
-    label = np.arange(n)
-    best, found = -np.inf, label
-    for k in range(n - 1, least - 1, -1):
-        i, j = sorted(divmod(int(np.argmin(work)), n))
-        mean = (work[i] * size[i] + work[j] * size[j]) / (size[i] + size[j])
-        work[i], work[:, i] = mean, mean
-        work[i, i], work[j], work[:, j] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        label = np.where(label == j, i, label)
-        if k <= most and (s := _score(x, dist, label)) > best:
-            best, found = s, label
+    unit = _unit(x)
+    parent = np.arange(n)
+    best, found = -np.inf, parent
+    merges = _merges(unit)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for k, (_, a, b) in zip(range(n - 1, least - 1, -1), merges, strict=False):
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+        if k <= most:
+            label = np.array([root(i) for i in range(n)])
+            if (s := _score(x, unit, label)) > best:
+                best, found = s, label
     return np.unique(found, return_inverse=True)[1]
 
 
-def _score(x: np.ndarray, dist: np.ndarray, label: np.ndarray) -> float:
+def _merges(unit: np.ndarray) -> list[tuple[float, int, int]]:
+    """(distance, member of one cluster, member of the other) of the n - 1 merges of average linkage, nearest first."""
+    sums, size, first = unit.copy(), np.ones(len(unit)), np.arange(len(unit))  # of the clusters that are left, as rows
+    left, chain, out = np.ones(len(unit), bool), [], []
+    while len(out) < len(unit) - 1:
+        if left.sum() * 2 < len(left):  # rows of clusters that are gone are given up
+            place = np.cumsum(left) - 1
+            chain = [int(place[c]) for c in chain]
+            sums, size, first, left = sums[left], size[left], first[left], left[left]
+        if not chain:
+            chain.append(int(np.argmax(left)))
+        top = chain[-1]
+        d = 1 - (sums @ sums[top]) / (size * size[top])
+        d[top], d[~left] = np.inf, np.inf
+        near = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[near]:
+            near = chain[-2]
+            del chain[-2:]
+            out.append((float(d[near]), int(first[near]), int(first[top])))
+            i, j = sorted((top, near))
+            sums[i], size[i], left[j] = sums[i] + sums[j], size[i] + size[j], False
+        else:
+            chain.append(near)
+    return sorted(out, key=lambda m: m[0])
+
+
+def _score(x: np.ndarray, unit: np.ndarray, label: np.ndarray) -> float:
     n = len(np.unique(label))
-    return _silhouette(dist, label) if 2 <= n < len(label) else -_davies_bouldin(x, label)
+    return _silhouette(unit, label) if 2 <= n < len(label) else -_davies_bouldin(x, label)
 
 
 def _davies_bouldin(x: np.ndarray, label: np.ndarray) -> float:
@@ -225,15 +267,18 @@ def _davies_bouldin(x: np.ndarray, label: np.ndarray) -> float:
     return float(np.where(apart > 0, both / np.where(apart > 0, apart, 1), np.where(both > 0, np.inf, 0)).max(1).mean())
 
 
-def _silhouette(dist: np.ndarray, label: np.ndarray) -> float:
+def _silhouette(unit: np.ndarray, label: np.ndarray) -> float:
+    """The mean silhouette with cosine distance; distances to a cluster are summed by its sum of unit vectors."""
     ids, inv = np.unique(label, return_inverse=True)
     if len(ids) < 2:
         return -1.0
-    one = np.eye(len(ids))[inv]
-    sums, n = dist @ one, one.sum(0)
-    own = sums[np.arange(len(inv)), inv] / np.maximum(n[inv] - 1, 1)
+    n = np.bincount(inv).astype(float)
+    total = np.zeros((len(ids), unit.shape[1]))
+    np.add.at(total, inv, unit)
+    sums, at = n - unit @ total.T, np.arange(len(inv))
+    own = (sums[at, inv] - (1 - (unit * unit).sum(1))) / np.maximum(n[inv] - 1, 1)
     mean = sums / n
-    mean[np.arange(len(inv)), inv] = np.inf
+    mean[at, inv] = np.inf
     near = mean.min(1)
     return float(np.where(n[inv] > 1, (near - own) / np.maximum(np.maximum(near, own), 1e-12), 0).mean())
 
@@ -241,20 +286,34 @@ def _silhouette(dist: np.ndarray, label: np.ndarray) -> float:
 def cluster_groups(vectors: DataFrame, by: str, key: str = "vec_id", method: str = "spectral") -> DataFrame:
     """(by, key, cluster): labels from 0 in order of the smallest key, found within each group.
 
-    A group is a matrix of its rows by its rows, so one of more than MOST_ROWS is an error: split it first.
+    Up to MOST_ROWS vectors of a group are clustered in one task. Spectral labels of a larger group come from its sparse
+    neighbour graph, step by step in Spark (`operators.spectra`); agglomeration needs memory in proportion to the group and
+    time in proportion to its square, and more than MOST_MERGED rows are an error: split them first.
     """
+    most = MOST_ROWS if method == "spectral" else MOST_MERGED
     fit = {"spectral": spectral, "agglomerative": agglomerative}[method]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_ROWS:
-            raise ValueError(f"{len(pdf)} rows in group {pdf[by].iloc[0]}: at most {MOST_ROWS} can be clustered at once")
+        if len(pdf) > most:
+            raise ValueError(f"{len(pdf)} rows in group {pdf[by].iloc[0]}: at most {most} can be clustered at once")
         pdf = pdf.sort_values(key)
         label = fit(np.array(pdf["embedding"].tolist(), float))
         order = {c: i for i, c in enumerate(dict.fromkeys(label.tolist()))}
         return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": [order[c] for c in label.tolist()]})
 
     kinds = [vectors.schema[c].dataType.simpleString() for c in (by, key)]
-    return vectors.select(by, key, "embedding").groupBy(by).applyInPandas(run, f"{by} {kinds[0]}, {key} {kinds[1]}, cluster int")
+    schema = f"{by} {kinds[0]}, {key} {kinds[1]}, cluster int"
+    rows, large = vectors.select(by, key, "embedding"), []
+    if method == "spectral":
+        large = [r[0] for r in rows.groupBy(by).count().where(F.col("count") > most).select(by).collect()]  # each is a run of its own
+    small = rows.where(~F.col(by).eqNullSafe(F.lit(large[0]))) if len(large) == 1 else rows.where(F.col(by).isNull() | ~F.col(by).isin(large)) if large else rows
+    out = small.groupBy(by).applyInPandas(run, schema)
+    for g in large:
+        from convoq.operators.spectra import spectral_labels
+
+        own = rows.where(F.col(by).eqNullSafe(F.lit(g)))
+        out = out.unionByName(spectral_labels(own, key=key).select(F.lit(g).cast(kinds[0]).alias(by), F.col(key).cast(kinds[1]), "cluster"))
+    return out
 
 
 def pca_kmeans(vectors: DataFrame, k: int = 10, dims: int = 10, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
@@ -315,28 +374,24 @@ def merge_stages(segments: DataFrame, partition: str = "meeting_id", slack: floa
     one that begins inside it, its start to the end of one that ends inside it. All comparisons are with the segment as it
     came, and of several that trim the same side the one accepted last counts.
 
-    The order of acceptance is the meaning of the operator, so a meeting's rows are taken one after the other; starts
-    ascend, so accepted ones that ended before a row's start are forgotten.
+    The order of acceptance is the meaning of the operator, so it is a fold; but segments meet only within a cluster of
+    them that overlap (or are at most slack apart), so each cluster is folded by itself.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_: list[tuple[int, int]] = []
-        out = []
-        for r in pdf.sort_values(["start_ms", "priority", "seq"], ascending=[True, False, True]).itertuples():
-            s, e = r.start_ms, r.end_ms
-            open_ = [(a, b) for a, b in open_ if b + slack >= s]
-            if any(s >= a - slack and e <= b + slack for a, b in open_):
-                continue
-            begin, end = s, e
-            for a, b in open_:
-                if e > a and s < b:
-                    if s < a:
-                        end = a
-                    elif e > b:
-                        begin = b
-            if end > begin:
-                open_.append((begin, end))
-                out.append((r.meeting_id, r.seq, r.speaker, r.priority, int(begin), int(end)))
-        return pd.DataFrame(out, columns=["meeting_id", "seq", "speaker", "priority", "start_ms", "end_ms"])
-
-    return segments.groupBy(partition).applyInPandas(run, "meeting_id long, seq long, speaker string, priority int, start_ms long, end_ms long")
+    many = crowded(segments, partition)
+    s = scan(segments, partition, ["start_ms", "end_ms", "seq"], most={"__until": F.col("end_ms")}, binned=many)
+    s = numbered(s, F.col("__until").isNull() | (F.col("start_ms") > F.col("__until") + slack), partition, ["start_ms", "end_ms", "seq"], "__cluster", binned=many)
+    taken = "array<struct<a bigint, b bigint, seq bigint, speaker string, priority int>>"
+
+    def accept(done: Column, x: Column) -> Column:
+        meets = F.filter(done, lambda m: (x["e"] > m["a"]) & (x["s"] < m["b"]))
+        end = F.try_element_at(F.transform(F.filter(meets, lambda m: x["s"] < m["a"]), lambda m: m["a"]), F.lit(-1))
+        begin = F.try_element_at(F.transform(F.filter(meets, lambda m: (x["s"] >= m["a"]) & (x["e"] > m["b"])), lambda m: m["b"]), F.lit(-1))
+        covered = F.exists(done, lambda m: (x["s"] >= m["a"] - slack) & (x["e"] <= m["b"] + slack))
+        a, b = F.coalesce(begin, x["s"]), F.coalesce(end, x["e"])
+        new = F.struct(a.alias("a"), b.alias("b"), x["seq"].alias("seq"), x["speaker"].alias("speaker"), x["priority"].alias("priority"))
+        return F.when(covered | (b <= a), done).otherwise(F.array_append(done, new)).cast(taken)
+
+    row = F.struct(F.col("start_ms").cast("long").alias("s"), (-F.col("priority")).alias("p"), F.col("seq").cast("long").alias("seq"), F.col("end_ms").cast("long").alias("e"), F.col("speaker").cast("string").alias("speaker"), F.col("priority").cast("int").alias("priority"))
+    folded = F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(taken), accept)
+    out = s.groupBy(partition, "__cluster").agg(folded.alias("r")).select(partition, F.explode("r").alias("r"))
+    return out.select(partition, "r.seq", "r.speaker", "r.priority", F.col("r.a").alias("start_ms"), F.col("r.b").alias("end_ms"))

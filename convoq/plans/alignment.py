@@ -78,7 +78,7 @@ def midpoint_speaker(spark, d):
     c = w.join(I.covering_segment(w, "mid", _moved(spark, d), "word_idx"), ["meeting_id", "word_idx"], "left")
     o = Window.partitionBy("meeting_id").orderBy("word_idx")
     new = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(o)) | (F.row_number().over(o) == 1)
-    return S.numbered(c, new, "meeting_id", "word_idx", name="run_idx").groupBy("meeting_id", "run_idx", "speaker").agg(F.count("*").alias("n_words"))
+    return S.numbered(c, new, "meeting_id", ["word_idx"], "run_idx", binned=False).groupBy("meeting_id", "run_idx", "speaker").agg(F.count("*").alias("n_words"))
 
 
 @query("WITH " + A.UTTERANCES + _CHUNKS + """ SELECT c.meeting_id, c.chunk_idx, u.utt_idx, greatest(c.start_ms, u.start_ms) AS start_ms, least(c.end_ms, u.end_ms) AS end_ms

@@ -7,11 +7,11 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convoq.plans import alignment, diarization, files, retrieval, summaries, texts, turns
+from convoq.plans import alignment, diarization, files, graphs, retrieval, summaries, texts, turns
 from convoq.shipping import ship
 
 FLAGSHIP = "der_report"
-MODULES = (turns, alignment, diarization, summaries, retrieval, texts, files)
+MODULES = (turns, alignment, diarization, summaries, retrieval, graphs, texts, files)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

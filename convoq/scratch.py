@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -32,3 +33,24 @@ def new_path(spark: SparkSession, what: str = "table") -> str:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+def stored(df: DataFrame, what: str = "table") -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and a lost executor loses nothing."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows (counted), else df itself."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
