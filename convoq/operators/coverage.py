@@ -177,32 +177,6 @@ def rouge_l(reference: DataFrame, prediction: DataFrame, by: list[str]) -> DataF
     return m.select("*", F.when(F.col("n_ref") + F.col("n_pred") > 0, F.round(2 * F.col("lcs") / (F.col("n_ref") + F.col("n_pred")), 6)).otherwise(F.lit(0.0)).alias("f1"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays of tokens, as a fold over the first.
-
-    The state has for each length the least place in b at which a common subsequence of that length, of the tokens so far,
-    can end. A token's places in b come last first, so that none builds on another place of the same token.
-    """
-    at = F.transform(b, lambda t, j: F.struct(t.alias("t"), j.alias("j")))
-
-    def end(ends: Column, j: Column) -> Column:
-        k = F.size(F.filter(ends, lambda e: e < j))
-        return F.when(k == F.size(ends), F.array_append(ends, j)).otherwise(F.transform(ends, lambda e, i: F.when(i == k, j).otherwise(e)))
-
-    def token(ends: Column, x: Column) -> Column:
-        return F.aggregate(F.reverse(F.transform(F.filter(at, lambda p: p["t"] == x), lambda p: p["j"])), ends, end)
-
-    return F.size(F.aggregate(a, F.array().cast("array<int>"), token))
-
-
-def rouge_l_words(reference: DataFrame, prediction: DataFrame, by: list[str]) -> DataFrame:
-    """(by, lcs, n_ref, n_pred, f1) of the tokens as they are, without stems: expressions only."""
-    j = reference.select(*by, tokenize(F.col("text")).alias("ref")).join(prediction.select(*by, tokenize(F.col("text")).alias("pred")), by)
-    long = lambda c: c.cast("long")
-    m = j.select(*by, long(lcs_length(F.col("ref"), F.col("pred"))).alias("lcs"), long(F.size("ref")).alias("n_ref"), long(F.size("pred")).alias("n_pred"))
-    return m.select("*", F.when(F.col("n_ref") + F.col("n_pred") > 0, F.round(2 * F.col("lcs") / (F.col("n_ref") + F.col("n_pred")), 6)).otherwise(F.lit(0.0)).alias("f1"))
-
-
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, with bit sets a word long: a row of b's matches for each token of a."""
     at: dict[str, int] = {}

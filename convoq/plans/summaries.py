@@ -34,11 +34,6 @@ def _tok(x: str) -> str:
 _BASE = A.UTTERANCES + "," + A.PRED_TEXTS
 
 
-def _words(x: str) -> str:
-    """Tokens in order, repeats included."""
-    return f"list_filter(string_split_regex({_norm(x)}, ' +'), lambda t: t <> '')"
-
-
 @query("WITH " + _BASE + f""", p AS (SELECT g.meeting_id, g.layer, g.unit_idx, {_tok('g.text')} AS a, {_tok('p.text')} AS b FROM gt_units g JOIN pred_texts p ON p.meeting_id = g.meeting_id AND p.layer = g.layer AND p.text_idx = g.unit_idx + 1)
   SELECT meeting_id, layer, unit_idx, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 6) ELSE 0 END AS overlap, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b)) / sqrt(len(a) * len(b)), 6) ELSE 0 END AS similarity FROM p""")
 def token_overlap(spark, d):
@@ -176,20 +171,6 @@ def rouge_l(spark, d):
     return C.rouge_l(join(A.gt_units(spark, d), "unit_idx"), join(A.pred_texts(spark, d), "text_idx"), _KEYS)
 
 
-#: The fold of the longest common subsequence: for each length the least place in the prediction at which one can end.
-@query("WITH RECURSIVE " + _BASE + r""", g AS (SELECT meeting_id, layer, string_agg(text, ' ' ORDER BY unit_idx) AS text FROM gt_units GROUP BY ALL), p AS (SELECT meeting_id, layer, string_agg(text, ' ' ORDER BY text_idx) AS text FROM pred_texts GROUP BY ALL),
-  k AS (SELECT meeting_id, layer, """ + _words("g.text") + """ AS a, """ + _words("p.text") + """ AS b FROM g JOIN p USING (meeting_id, layer)),
-  f AS (SELECT meeting_id, layer, 0 AS i, []::INTEGER[] AS ends FROM k
-    UNION ALL SELECT meeting_id, layer, i + 1, list_reduce(list_prepend(ends, list_reverse(list_transform(list_filter(range(1, len(b) + 1), lambda j: b[j] = a[i + 1]), lambda j: [CAST(j AS INTEGER)]))),
-      lambda e, x: CASE WHEN len(list_filter(e, lambda y: y < x[1])) = len(e) THEN list_append(e, x[1]) ELSE list_concat(list_append(e[1:len(list_filter(e, lambda y: y < x[1]))], x[1]), e[len(list_filter(e, lambda y: y < x[1])) + 2:]) END)
-    FROM f JOIN k USING (meeting_id, layer) WHERE i < len(a))
-  SELECT meeting_id, layer, len(ends) AS lcs, len(a) AS n_ref, len(b) AS n_pred, CASE WHEN len(a) + len(b) > 0 THEN round(2 * len(ends) / (len(a) + len(b)), 6) ELSE 0 END AS f1 FROM f JOIN k USING (meeting_id, layer) WHERE i = len(a)""")
-def rouge_l_words(spark, d):
-    """The same of the words as they are, in expressions."""
-    join = lambda df, idx: df.groupBy(*_KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(idx, "text"))), lambda s: s["text"]), " ").alias("text"))
-    return C.rouge_l_words(join(A.gt_units(spark, d), "unit_idx"), join(A.pred_texts(spark, d), "text_idx"), _KEYS)
-
-
 @query("WITH " + A.GT_WORDS + "," + A.TOPIC_SPANS + SPAN_MERGE + """, u AS (SELECT meeting_id, topic_id, speaker, unnest(range(s_idx, e_idx + 1)) AS w FROM merged),
   n AS (SELECT *, count(*) OVER (PARTITION BY meeting_id, speaker, w) AS k FROM u)
   SELECT meeting_id, topic_id, count(*) AS total_units, count(*) FILTER (k = 1) AS unique_units, count(*) FILTER (k > 1) AS shared_units, round(count(*) FILTER (k = 1) / count(*), 6) AS distinct_ratio FROM n GROUP BY ALL""")
