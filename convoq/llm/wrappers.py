@@ -241,7 +241,25 @@ def _anchors(a: list, b: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _optional(items: list) -> list:
+    """Items that only one side has: stretches of them are one optional group each."""
+    out: list = []
+    now: Group | None = None
+    for x in items:
+        if isinstance(x, Group) and x.kind == "?":
+            out.append(x)
+            now = None
+        elif now:
+            now.items.append(x)
+        else:
+            now = Group([x], "?")
+            out.append(now)
+    return out
+
+
 def _between(a: list, b: list) -> list:
+    if not a or not b:
+        return _optional(a or b)
     ka, kb = [_key(x) for x in a], [_key(x) for x in b]
     if ka == kb:
         return [_merged(x, y) for x, y in zip(a, b, strict=True)]
@@ -283,9 +301,7 @@ def _between(a: list, b: list) -> list:
         else:
             out += [Group([x], "?"), Group([y], "?")]
             i, j = i + 1, j + 1
-    for rest in (a[i:], b[j:]):
-        out += [Group([x], "?") if not (isinstance(x, Group) and x.kind == "?") else x for x in rest]
-    return out
+    return out + _optional(a[i:]) + _optional(b[j:])
 
 
 def _places(keys: list) -> dict:
