@@ -225,9 +225,9 @@ def test_refinement_is_its_steps(spark):
 def test_a_group_too_large_is_an_error(spark, monkeypatch):
     from pyspark.errors import PythonException
 
-    monkeypatch.setattr(V, "MOST_ROWS", 5)
+    monkeypatch.setattr(V, "MOST_MERGED", 5)
     df = spark.createDataFrame([(1, i, [1.0, float(i)]) for i in range(9)], "meeting_id long, vec_id long, embedding array<double>")
-    fit = V.cluster_groups(df, "meeting_id")
+    fit = V.cluster_groups(df, "meeting_id", method="agglomerative")
     try:
         fit.collect()
     except PythonException as e:
